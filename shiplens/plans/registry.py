@@ -32,7 +32,11 @@ NO_NOISE = CostParams(noise_sigma=0.0)
 
 @dataclass(frozen=True)
 class Query:
-    build: Callable[[SparkSession, str], DataFrame]
+    """A named query: either ``fn(enriched_or_cube, grain)`` (an aggregate
+    that also runs on the cube) or ``build(spark, sf_dir)`` (row level)."""
+
+    build: Callable[[SparkSession, str], DataFrame] | None = None
+    fn: Callable | None = None
     amounts: tuple = ()
     ratios: tuple = ()
     order: tuple = field(default=())  # column names; "-name" = descending
@@ -47,10 +51,6 @@ def enriched(spark: SparkSession, sf_dir: str, params: CostParams = DEFAULT_COST
     return E.enrich(lines(spark, sf_dir), params)
 
 
-def _on_enriched(fn, **kw):
-    return lambda spark, sf_dir: fn(enriched(spark, sf_dir), **kw)
-
-
 def present(df: DataFrame, q: Query) -> DataFrame:
     """Apply the stable decimal places of ``q`` (and its order, if any)."""
     repl = {c: F.round(F.col(c), AMOUNT_DP) for c in q.amounts}
@@ -152,7 +152,7 @@ QUERIES: dict[str, Query] = {
     "filter_failed_orders": Query(q_filter_failed_orders),
     "filter_market_usca": Query(q_filter_market_usca),
     "filter_segment_corporate": Query(q_filter_segment_corporate),
-    "surge_months": Query(_on_enriched(M.surge_months),
+    "surge_months": Query(fn=M.surge_months,
                           ratios=("mean_orders", "std_orders", "surge_threshold")),
     # lookups and row expressions
     "lookup_base_rate": Query(q_lookup_base_rate, ratios=("base_ship_rate",)),
@@ -165,128 +165,138 @@ QUERIES: dict[str, Query] = {
                             ratios=("cost_per_order", "margin_leakage")),
     "cross_border_lines": Query(q_cross_border_lines),
     # KPI tables
-    "kpi_otif_by_carrier": Query(_on_enriched(K.otif_by_carrier),
+    "kpi_otif_by_carrier": Query(fn=K.otif_by_carrier,
                                  ratios=RATES + ("avg_transit_variance", "avg_cost_per_order"),
                                  order=("-orders", "shipping_mode")),
-    "kpi_otif_by_region": Query(_on_enriched(K.otif_by_region),
+    "kpi_otif_by_region": Query(fn=K.otif_by_region,
                                 ratios=RATES + ("avg_cost_per_order",),
                                 order=("-orders", "order_region")),
-    "kpi_otif_monthly": Query(_on_enriched(K.otif_monthly), ratios=("otif_rate", "on_time_rate"),
+    "kpi_otif_monthly": Query(fn=K.otif_monthly, ratios=("otif_rate", "on_time_rate"),
                               order=("order_month",)),
-    "kpi_cpo_region_carrier": Query(_on_enriched(K.cpo_region_carrier),
+    "kpi_cpo_region_carrier": Query(fn=K.cpo_region_carrier,
                                     amounts=("total_cost", "total_margin_leakage"),
                                     ratios=("avg_cost_per_order", "avg_margin_leakage"),
                                     order=("-total_cost", "order_region",
                                            "shipping_mode")),
-    "kpi_cost_monthly": Query(_on_enriched(K.cost_monthly),
+    "kpi_cost_monthly": Query(fn=K.cost_monthly,
                               amounts=("total_shipping_cost", "total_margin_leakage"),
                               ratios=("avg_cost_per_order",), order=("order_month",)),
-    "kpi_edd_by_carrier": Query(_on_enriched(K.edd_by_carrier),
+    "kpi_edd_by_carrier": Query(fn=K.edd_by_carrier,
                                 ratios=("edd_met_rate", "avg_scheduled_days", "avg_real_days",
                                         "avg_variance"),
                                 order=("shipping_mode",)),
-    "kpi_failed_delivery_region": Query(_on_enriched(K.failed_delivery_region),
+    "kpi_failed_delivery_region": Query(fn=K.failed_delivery_region,
                                         amounts=("reshipment_cost",), ratios=("cum_pct",),
                                         order=("-failed_orders", "order_region")),
-    "kpi_failed_delivery_category": Query(_on_enriched(K.failed_delivery_category),
+    "kpi_failed_delivery_category": Query(fn=K.failed_delivery_category,
                                           amounts=("reshipment_cost",), ratios=("cum_pct",),
                                           order=("-failed_orders", "category_name")),
-    "kpi_failed_delivery_carrier": Query(_on_enriched(K.failed_delivery_carrier),
+    "kpi_failed_delivery_carrier": Query(fn=K.failed_delivery_carrier,
                                          amounts=("reshipment_cost",),
                                          order=("-failed_orders", "shipping_mode")),
-    "kpi_cross_border_summary": Query(_on_enriched(K.cross_border_summary),
+    "kpi_cross_border_summary": Query(fn=K.cross_border_summary,
                                       ratios=("otif_rate", "on_time_rate_pre_customs_adj",
                                               "on_time_rate_post_customs_adj", "cancel_rate",
                                               "avg_cost_per_order", "avg_sales"),
                                       order=("lane",)),
-    "kpi_cross_border_monthly": Query(_on_enriched(K.cross_border_monthly),
+    "kpi_cross_border_monthly": Query(fn=K.cross_border_monthly,
                                       order=("order_month", "lane")),
-    "kpi_corporate_monthly": Query(_on_enriched(K.corporate_monthly), amounts=("total_sales",),
+    "kpi_corporate_monthly": Query(fn=K.corporate_monthly, amounts=("total_sales",),
                                    ratios=("otif_rate", "avg_cost_per_order"),
                                    order=("order_month",)),
-    "kpi_corporate_category": Query(_on_enriched(K.corporate_category), amounts=("total_sales",),
+    "kpi_corporate_category": Query(fn=K.corporate_category, amounts=("total_sales",),
                                     ratios=("otif_rate",),
                                     order=("-orders", "category_name")),
-    "kpi_monthly_by_segment": Query(_on_enriched(K.monthly_by_segment),
+    "kpi_monthly_by_segment": Query(fn=K.monthly_by_segment,
                                     order=("order_month", "customer_segment")),
-    "scenario_rows": Query(_on_enriched(K.scenario_rows),
+    "scenario_rows": Query(fn=K.scenario_rows,
                            amounts=("total_cost", "total_margin_leakage",
                                     "savings_carrier_diversification", "savings_zone_skipping",
                                     "simulated_annual_savings"),
                            ratios=("avg_cost_per_order", "avg_margin_leakage"),
                            order=("-total_cost", "order_region", "shipping_mode")),
-    "kpi_savings_simulation": Query(_on_enriched(K.savings_simulation),
+    "kpi_savings_simulation": Query(fn=K.savings_simulation,
                                     amounts=("current_total_cost", "savings_carrier_diversification",
                                              "savings_zone_skipping", "simulated_savings"),
                                     ratios=("savings_pct",),
                                     order=("-simulated_savings", "order_region")),
-    "kpi_savings_by_lever": Query(_on_enriched(K.savings_by_lever), amounts=("annual_savings",),
+    "kpi_savings_by_lever": Query(fn=K.savings_by_lever, amounts=("annual_savings",),
                                   ratios=("pct_of_total_cost",)),
-    "kpi_topline_summary": Query(_on_enriched(K.topline_summary)),
+    "kpi_topline_summary": Query(fn=K.topline_summary),
     # chart / dashboard datasets
-    "chart_otif_by_carrier": Query(_on_enriched(M.chart_otif_by_carrier),
+    "chart_otif_by_carrier": Query(fn=M.chart_otif_by_carrier,
                                    ratios=("otif_pct", "network_avg_pct", "axis_max_pct"),
                                    order=("-orders", "shipping_mode")),
-    "chart_otif_monthly": Query(_on_enriched(M.chart_otif_monthly), ratios=("otif_pct", "on_time_pct"),
+    "chart_otif_monthly": Query(fn=M.chart_otif_monthly, ratios=("otif_pct", "on_time_pct"),
                                 order=("order_month",)),
-    "chart_cost_by_region": Query(_on_enriched(M.chart_cost_by_region),
+    "chart_cost_by_region": Query(fn=M.chart_cost_by_region,
                                   amounts=("total_cost", "total_cost_k"), ratios=("avg_cpo",)),
-    "chart_leakage_by_region": Query(_on_enriched(M.chart_leakage_by_region),
+    "chart_leakage_by_region": Query(fn=M.chart_leakage_by_region,
                                      amounts=("total_margin_leakage", "total_margin_leakage_k")),
-    "chart_edd_by_carrier": Query(_on_enriched(M.chart_edd_by_carrier),
+    "chart_edd_by_carrier": Query(fn=M.chart_edd_by_carrier,
                                   ratios=("edd_met_pct", "avg_variance")),
-    "chart_pareto_region": Query(_on_enriched(M.chart_pareto_region), ratios=("cum_pct_100",)),
-    "chart_pareto_category": Query(_on_enriched(M.chart_pareto_category), ratios=("cum_pct_100",)),
-    "pareto_vital_few": Query(_on_enriched(M.pareto_vital_few), amounts=("reshipment_cost",),
+    "chart_pareto_region": Query(fn=M.chart_pareto_region, ratios=("cum_pct_100",)),
+    "chart_pareto_category": Query(fn=M.chart_pareto_category, ratios=("cum_pct_100",)),
+    "pareto_vital_few": Query(fn=M.pareto_vital_few, amounts=("reshipment_cost",),
                               ratios=("cum_pct",)),
-    "chart_cross_border": Query(_on_enriched(M.chart_cross_border), ratios=("value_pct",)),
-    "chart_corporate_surge": Query(_on_enriched(M.corporate_surge),
+    "chart_cross_border": Query(fn=M.chart_cross_border, ratios=("value_pct",)),
+    "chart_corporate_surge": Query(fn=M.corporate_surge,
                                    ratios=("mean_orders", "std_orders", "surge_threshold"),
                                    order=("order_month",)),
-    "chart_corporate_mix": Query(_on_enriched(M.chart_corporate_mix)),
-    "chart_savings_by_lever": Query(_on_enriched(M.chart_savings_by_lever),
+    "chart_corporate_mix": Query(fn=M.chart_corporate_mix),
+    "chart_savings_by_lever": Query(fn=M.chart_savings_by_lever,
                                     amounts=("annual_savings", "annual_savings_k"),
                                     ratios=("pct_of_total_cost",)),
-    "dashboard_cards": Query(_on_enriched(M.dashboard_cards), order=("card",)),
+    "dashboard_cards": Query(fn=M.dashboard_cards, order=("card",)),
     # workbook datasets
-    "wb_topline": Query(_on_enriched(M.wb_topline), amounts=("value",), order=("row_no",)),
-    "wb_otif_by_carrier": Query(_on_enriched(M.wb_otif_by_carrier),
+    "wb_topline": Query(fn=M.wb_topline, amounts=("value",), order=("row_no",)),
+    "wb_otif_by_carrier": Query(fn=M.wb_otif_by_carrier,
                                 ratios=RATES + ("avg_transit_variance", "avg_cost_per_order"),
                                 order=("is_total", "-orders", "shipping_mode")),
-    "wb_edd_by_carrier": Query(_on_enriched(M.wb_edd_by_carrier),
+    "wb_edd_by_carrier": Query(fn=M.wb_edd_by_carrier,
                                ratios=("avg_scheduled_days", "avg_real_days", "avg_variance",
                                        "edd_met_rate"),
                                order=("shipping_mode",)),
-    "wb_pareto": Query(_on_enriched(M.wb_pareto), amounts=("reshipment_cost",), ratios=("cum_pct",),
+    "wb_pareto": Query(fn=M.wb_pareto, amounts=("reshipment_cost",), ratios=("cum_pct",),
                        order=("dimension", "-failed_orders", "key")),
-    "wb_savings_by_lever": Query(_on_enriched(M.wb_savings_by_lever), amounts=("annual_savings",),
+    "wb_savings_by_lever": Query(fn=M.wb_savings_by_lever, amounts=("annual_savings",),
                                  ratios=("pct_of_total_cost",)),
     # report findings
-    "tier_cost_ratio": Query(_on_enriched(R.tier_cost_ratio),
+    "tier_cost_ratio": Query(fn=R.tier_cost_ratio,
                              ratios=("avg_cost_per_order", "cost_ratio_vs_baseline")),
-    "otif_monthly_range": Query(_on_enriched(R.otif_monthly_range),
+    "otif_monthly_range": Query(fn=R.otif_monthly_range,
                                 ratios=("min_monthly_otif", "max_monthly_otif")),
-    "pareto_top3_share": Query(_on_enriched(R.pareto_top3_share), ratios=("top_share",)),
-    "failure_vs_volume": Query(_on_enriched(R.failure_vs_volume),
+    "pareto_top3_share": Query(fn=R.pareto_top3_share, ratios=("top_share",)),
+    "failure_vs_volume": Query(fn=R.failure_vs_volume,
                                ratios=("failed_share", "volume_share", "failure_to_volume")),
-    "customs_on_time_gap": Query(_on_enriched(R.customs_on_time_gap),
+    "customs_on_time_gap": Query(fn=R.customs_on_time_gap,
                                  ratios=("on_time_rate_pre_customs_adj", "on_time_rate_post_customs_adj",
                                          "on_time_drop")),
-    "routing_guide": Query(_on_enriched(R.routing_guide),
+    "routing_guide": Query(fn=R.routing_guide,
                            ratios=("otif_rate", "edd_met_rate", "avg_variance", "avg_cost_per_order")),
-    "failure_impact": Query(_on_enriched(R.failure_impact), amounts=("reshipment_cost",),
+    "failure_impact": Query(fn=R.failure_impact, amounts=("reshipment_cost",),
                             ratios=("failure_rate", "cost_per_failure")),
-    "leakage_vs_cost_share": Query(_on_enriched(R.leakage_vs_cost_share),
+    "leakage_vs_cost_share": Query(fn=R.leakage_vs_cost_share,
                                    amounts=("total_cost", "total_margin_leakage"),
                                    ratios=("cost_share", "leakage_share")),
-    "leakage_cost_corr": Query(_on_enriched(R.leakage_cost_corr), ratios=("cost_leakage_corr",)),
-    "otif_by_year_carrier": Query(_on_enriched(R.otif_by_year_carrier), ratios=("otif_rate",)),
+    "leakage_cost_corr": Query(fn=R.leakage_cost_corr, ratios=("cost_leakage_corr",)),
+    "otif_by_year_carrier": Query(fn=R.otif_by_year_carrier, ratios=("otif_rate",)),
 }
 
 
-def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def build(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The unrounded result of query ``name`` over the tables in ``sf_dir``."""
     q = QUERIES[name]
-    return present(q.build(spark, sf_dir), q)
+    return q.fn(enriched(spark, sf_dir)) if q.fn is not None else q.build(spark, sf_dir)
+
+
+def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return present(build(name, spark, sf_dir), QUERIES[name])
+
+
+def aggregate_queries() -> list[str]:
+    """Queries that run on either grain (lines or cube)."""
+    return [n for n, q in QUERIES.items() if q.fn is not None]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -28,10 +28,19 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
-def write_enriched(df: DataFrame, path: str) -> None:
-    """Enriched order lines -> parquet partitioned by month (overwrite)."""
-    (df.repartition("order_month")
-       .write.mode("overwrite").partitionBy("order_month").parquet(path))
+def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None) -> None:
+    """Enriched order lines -> parquet partitioned by month (overwrite).
+
+    By default there is no shuffle: each task writes the months it holds
+    (cheap when the input is clustered by date, as order exports are). With
+    ``files_per_month`` the lines are first hash-spread over
+    (month, bucket), so one month never lands in a single task however
+    large it is, and each month gets about that many files.
+    """
+    if files_per_month:
+        bucket = F.pmod(F.xxhash64("line_key"), F.lit(int(files_per_month)))
+        df = df.repartition("order_month", bucket)
+    df.write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:

@@ -65,24 +65,41 @@ def _market(nation_key: Column) -> Column:
     return expr
 
 
+# Schemas of the columns the adapter reads (explicit, so no footer inference).
+SCHEMAS = {
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+                "l_quantity double, l_extendedprice double, l_discount double, "
+                "l_returnflag string, l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_nationkey int, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string",
+    "part": "p_partkey bigint, p_type string",
+}
+
+
 def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``order_lines`` (the raw-export schema) built from the test tables."""
-    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
-    lineitem = read("lineitem").select(
-        "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-        "l_extendedprice", "l_discount", "l_returnflag", "l_shipdate")
-    orders = read("orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                   "o_orderdate", "o_orderpriority")
-    customer = read("customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    nation = read("nation").select("n_nationkey", "n_name")
-    part = read("part").select("p_partkey", "p_type")
+    """``order_lines`` (the raw-export schema) built from the test tables.
 
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    lines = (lineitem
-             .join(orders, lineitem.l_orderkey == orders.o_orderkey)
-             .join(cust, F.col("o_custkey") == F.col("c_custkey"))
-             .join(part, F.col("l_partkey") == F.col("p_partkey")))
+    Join order keeps the fact table's shuffles to two: orders are first
+    joined to their customer (and the 25-row nation table), then lineitem
+    meets that on the order key and part on the part key. The fact-side
+    join carries a ``merge`` hint: lineitem grows with the data, so it is
+    never a broadcast candidate, whatever a size estimate says. The other
+    joins are left to Spark's size checks (nation is 25 rows and is
+    broadcast; customer and part become sort-merge joins once they pass the
+    broadcast threshold). A hot key on any join is split by AQE's skew-join
+    handling.
+    """
+    read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
+    lineitem, orders, customer, nation, part = (
+        read(t) for t in ("lineitem", "orders", "customer", "nation", "part"))
 
+    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
+    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    lines = (lineitem.hint("merge")
+             .join(order_cust, lineitem.l_orderkey == order_cust.o_orderkey)
+             .join(part, lineitem.l_partkey == part.p_partkey))
     nk = F.col("c_nationkey")
     mode = F.try_element_at(_literal_map(PRIORITY_MODE), F.col("o_orderpriority"))
     real_days = F.pmod(F.datediff(F.col("l_shipdate"), F.col("o_orderdate")), F.lit(TRANSIT_WEEK))
