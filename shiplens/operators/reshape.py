@@ -19,3 +19,12 @@ def with_total_row(detail: DataFrame, key: str, label: str, totals: dict[str, Co
     """
     total = detail.agg(*[c.alias(n) for n, c in totals.items()]).withColumn(key, F.lit(label))
     return detail.unionByName(total, allowMissingColumns=True)
+
+
+def relabel(df: DataFrame, labels: dict[str, str], keep_unlabelled: bool = False) -> DataFrame:
+    """Rename columns to display labels (for CSV / spreadsheet export).
+
+    Columns without a label are dropped unless ``keep_unlabelled``.
+    """
+    cols = [c for c in df.columns if c in labels or keep_unlabelled]
+    return df.select(*cols).withColumnsRenamed({c: labels[c] for c in cols if c in labels})

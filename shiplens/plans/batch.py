@@ -24,7 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from shiplens.config import DEFAULT_COST, CostParams
 from shiplens.operators.enrich import enrich
 from shiplens.operators.measures import CUBE, build_cube
+from shiplens.operators.reshape import relabel
 from shiplens.plans import registry
+from shiplens.plans.marts import WORKBOOK_SHEETS
 from shiplens.sources.raw import read_raw_csv, typed_order_lines
 from shiplens.sources.sinks import read_enriched, write_enriched, write_kpi
 from shiplens.sources.testdata import order_lines_from_tables
@@ -54,10 +56,23 @@ def kpi_from_cube(name: str, cube: DataFrame) -> DataFrame:
     return registry.present(q.fn(cube, CUBE), q)
 
 
+def export_workbook(cube: DataFrame, out_dir: str, parallel_jobs: int = 8) -> dict[str, str]:
+    """Each workbook sheet as a header CSV with its display labels."""
+    def one(item):
+        sheet, (name, labels) = item
+        path = os.path.join(out_dir, "workbook", sheet.lower().replace(" ", "_").replace("-", "_"))
+        write_kpi(relabel(kpi_from_cube(name, cube), labels), path, "csv")
+        return sheet, path
+
+    with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
+        return dict(pool.map(one, WORKBOOK_SHEETS.items()))
+
+
 def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               raw_csv: str | None = None, params: CostParams = DEFAULT_COST,
               tables=KPI_TABLES, kpi_format: str = "parquet", write_lines: bool = True,
-              files_per_month: int | None = None, parallel_jobs: int = 4) -> dict[str, str]:
+              files_per_month: int | None = None, parallel_jobs: int = 8,
+              workbook: bool = False) -> dict[str, str]:
     """Run the whole pipeline; returns {table name: path}."""
     lines = load_order_lines(spark, sf_dir, raw_csv)
     enriched = enrich(lines, params)
@@ -80,5 +95,7 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
     # scheduler overlaps them.
     with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
         paths.update(dict(pool.map(one, tables)))
+    if workbook:
+        paths.update({f"workbook:{k}": v for k, v in export_workbook(cube, out_dir, parallel_jobs).items()})
     cube.unpersist()
     return paths

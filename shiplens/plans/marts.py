@@ -271,3 +271,47 @@ def wb_savings_by_lever(df, g=LINES, sp=DEFAULT_SCENARIO):
     total = lv.agg(F.sum("annual_savings").alias("annual_savings")).select(
         F.lit("TOTAL").alias("lever"), "annual_savings", F.lit(True).alias("is_total"))
     return lv.unionByName(total, allowMissingColumns=True)
+
+
+# Workbook sheet names and column display labels.
+WORKBOOK_SHEETS = {
+    "Topline KPIs": ("wb_topline", {"metric": "Metric", "value": "Value"}),
+    "OTIF by Carrier": ("wb_otif_by_carrier", {
+        "shipping_mode": "Carrier / Service Tier", "orders": "Orders", "otif_orders": "OTIF Orders",
+        "on_time_orders": "On-Time Orders", "cancelled_orders": "Cancelled Orders",
+        "avg_transit_variance": "Avg Transit Variance (days)", "avg_cost_per_order": "Avg Cost/Order ($)",
+        "otif_rate": "OTIF Rate", "on_time_rate": "On-Time Rate", "cancel_rate": "Cancel Rate"}),
+    "OTIF by Region": ("kpi_otif_by_region", {
+        "order_region": "Order Region", "orders": "Orders", "otif_rate": "OTIF Rate",
+        "on_time_rate": "On-Time Rate", "cancel_rate": "Cancel Rate",
+        "avg_cost_per_order": "Avg Cost/Order ($)"}),
+    "Cost per Order": ("kpi_cpo_region_carrier", {
+        "order_region": "Order Region", "shipping_mode": "Carrier", "orders": "Orders",
+        "avg_cost_per_order": "Avg Cost/Order ($)", "total_cost": "Total Cost ($)",
+        "avg_margin_leakage": "Avg Margin Leakage ($)", "total_margin_leakage": "Total Margin Leakage ($)"}),
+    "EDD Accuracy": ("wb_edd_by_carrier", {
+        "shipping_mode": "Carrier", "orders": "Orders", "edd_met_orders": "EDD Met Orders",
+        "avg_scheduled_days": "Avg Scheduled Days", "avg_real_days": "Avg Real Days",
+        "avg_variance": "Avg Variance (days)", "edd_met_rate": "EDD Met Rate"}),
+    "Failed Delivery Pareto": ("wb_pareto", {
+        "dimension": "Block", "key": "Key", "failed_orders": "Failed Orders",
+        "reshipment_cost": "Reshipment Cost ($)", "cum_pct": "Cumulative %"}),
+    "Cross-Border USCA": ("kpi_cross_border_summary", {
+        "lane": "Lane", "orders": "Orders", "otif_rate": "OTIF Rate",
+        "on_time_rate_pre_customs_adj": "On-Time Rate (Pre-Customs)",
+        "on_time_rate_post_customs_adj": "On-Time Rate (Post-Customs)", "cancel_rate": "Cancel Rate",
+        "avg_cost_per_order": "Avg Cost/Order ($)", "avg_sales": "Avg Sales ($)"}),
+    "Corporate Monthly": ("kpi_corporate_monthly", {
+        "order_month": "Month", "orders": "Orders", "total_units": "Total Units",
+        "total_sales": "Total Sales ($)", "otif_rate": "OTIF Rate", "avg_cost_per_order": "Avg Cost/Order ($)"}),
+    "Corporate Category": ("kpi_corporate_category", {
+        "category_name": "Category", "orders": "Orders", "total_units": "Total Units",
+        "total_sales": "Total Sales ($)", "otif_rate": "OTIF Rate"}),
+    "Savings by Lever": ("wb_savings_by_lever", {
+        "lever": "Lever", "annual_savings": "Annual Savings ($)", "pct_of_total_cost": "% of Total Cost"}),
+    "Savings by Region": ("kpi_savings_simulation", {
+        "order_region": "Order Region", "current_total_cost": "Current Cost ($)",
+        "savings_carrier_diversification": "Savings: Carrier Diversification ($)",
+        "savings_zone_skipping": "Savings: Zone Skipping ($)",
+        "simulated_savings": "Total Simulated Savings ($)", "savings_pct": "Savings %"}),
+}

@@ -421,6 +421,10 @@ def _bodies() -> dict[str, tuple]:
         # lookups / row expressions
         "lookup_base_rate": ("SELECT line_key, shipping_mode, base_ship_rate FROM flags", ""),
         "lookup_zone_factor": ("SELECT line_key, order_region, zone_factor FROM flags", ""),
+        "parse_order_dates": ("SELECT line_key, strftime(order_ts, '%-m/%-d/%Y %-H:%M') AS order_text, "
+                              "strftime(ship_ts, '%-m/%-d/%Y %-H:%M') AS ship_text, "
+                              "strftime(order_ts, '%Y-%m-%d %H:%M') AS order_parsed, "
+                              "strftime(ship_ts, '%Y-%m-%d %H:%M') AS ship_parsed FROM kept", ""),
         "order_month_year": ("SELECT line_key, strftime(order_ts, '%Y-%m-%d') AS order_date, order_month, "
                              "order_year FROM flags", ""),
         "delivery_flags": ("SELECT line_key, order_status, delivery_status, real_days, sched_days, is_on_time, "

@@ -89,6 +89,22 @@ def q_filter_segment_corporate(spark, sf_dir):
     return _line_view(flt.segment(enriched(spark, sf_dir)))
 
 
+def q_parse_order_dates(spark, sf_dir):
+    """Order / ship timestamps written in the raw export's text format and
+    parsed back by the ingest parser (every kept line)."""
+    from shiplens.config import RAW_DATE_FORMAT
+    from shiplens.sources.raw import parse_raw_ts
+
+    text = flt.shipped_status(lines(spark, sf_dir)).select(
+        "line_key",
+        F.date_format("order_ts", RAW_DATE_FORMAT).alias("order_text"),
+        F.date_format("ship_ts", RAW_DATE_FORMAT).alias("ship_text"))
+    return text.select(
+        "line_key", "order_text", "ship_text",
+        F.date_format(parse_raw_ts(F.col("order_text")), "yyyy-MM-dd HH:mm").alias("order_parsed"),
+        F.date_format(parse_raw_ts(F.col("ship_text")), "yyyy-MM-dd HH:mm").alias("ship_parsed"))
+
+
 def q_order_month_year(spark, sf_dir):
     df = E.with_calendar(flt.shipped_status(lines(spark, sf_dir)))
     return df.select("line_key", F.date_format("order_ts", "yyyy-MM-dd").alias("order_date"),
@@ -157,6 +173,7 @@ QUERIES: dict[str, Query] = {
     # lookups and row expressions
     "lookup_base_rate": Query(q_lookup_base_rate, ratios=("base_ship_rate",)),
     "lookup_zone_factor": Query(q_lookup_zone_factor, ratios=("zone_factor",)),
+    "parse_order_dates": Query(q_parse_order_dates),
     "order_month_year": Query(q_order_month_year),
     "delivery_flags": Query(q_delivery_flags),
     "cost_model": Query(q_cost_model, ratios=COST_ROW),

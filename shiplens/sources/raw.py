@@ -46,11 +46,16 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -
             .csv(path))
 
 
+def parse_raw_ts(text: Column, date_format: str = RAW_DATE_FORMAT) -> Column:
+    """Raw date text -> timestamp_ntz; NULL when it does not parse."""
+    return F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
+
+
 def _typed(raw: Column, kind: str, date_format: str) -> Column:
     if kind == "string":
         return raw
     if kind == "ts":
-        return F.try_to_timestamp(raw, F.lit(date_format)).cast("timestamp_ntz")
+        return parse_raw_ts(raw, date_format)
     return raw.try_cast(kind)
 
 

@@ -24,6 +24,14 @@ def test_batch_writes_all_kpis_equal_to_direct_queries(spark, tmp_out):
         assert _sorted(got) == _sorted(want), name
 
 
+def test_workbook_export_uses_display_labels(spark, tmp_out):
+    paths = batch.run_batch(spark, tmp_out, sf_dir=SF_SMALL, tables=("kpi_otif_by_carrier",),
+                            write_lines=False, workbook=True)
+    carrier = spark.read.option("header", True).csv(paths["workbook:OTIF by Carrier"])
+    assert carrier.columns[0] == "Carrier / Service Tier" and "is_total" not in carrier.columns
+    assert carrier.count() == 5  # four tiers and the total row
+
+
 def test_streaming_deltas_match_batch(spark, tmp_out):
     # Land the sf0.001 order lines as two raw-format CSV files.
     src = os.path.join(tmp_out, "landing")
