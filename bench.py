@@ -49,7 +49,11 @@ def main() -> None:
         registry.run(name, spark, sf_dir).collect()
         times[name] = round(time.perf_counter() - t, 3)
 
-    out_dir = tempfile.mkdtemp(prefix="shiplens-bench-", dir=os.environ.get("BENCH_TMP", "/tmp"))
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:  # the cluster's shared folder
+        out_dir = os.path.join(shared, f"shiplens-bench-{int(time.time())}")
+    else:       # local run: a fresh scratch folder
+        out_dir = tempfile.mkdtemp(prefix="shiplens-bench-", dir=os.environ.get("BENCH_TMP", "/tmp"))
     t = time.perf_counter()
     batch.run_batch(spark, out_dir, sf_dir=sf_dir)
     times["batch_all_kpis"] = round(time.perf_counter() - t, 3)

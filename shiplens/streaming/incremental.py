@@ -1,12 +1,15 @@
 """Order-line files -> enriched lines + cube deltas, one micro-batch at a time.
 
-Each micro-batch is enriched (stateless, narrow) and appended to the
-enriched table, and its cube (an aggregate of the batch alone) is written
-under ``cube/batch_id=<id>``. Every cube measure is additive (counts, sums,
-min, max), so a KPI over all deltas equals the KPI over all lines; the
-delta of a replayed batch overwrites its own folder, which keeps a retried
-batch from being counted twice. Progress lives in the query's checkpoint
-location (a shared folder on a cluster).
+Each micro-batch is enriched (stateless, narrow) and written under
+``order_enriched/batch_id=<id>`` (partitioned by month); its cube, built
+from that written delta, goes under ``cube/batch_id=<id>``. Both writes
+overwrite the batch's own folder, so a replayed batch (after a failure
+between the two writes, say) replaces its output instead of adding it
+twice. Every cube measure is additive (counts, sums, min, max), so a KPI
+over all deltas equals the KPI over all lines. ``compact_cube`` folds the
+deltas into one cube so reads do not grow with the number of batches.
+Progress lives in the query's checkpoint location (a shared folder on a
+cluster).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from shiplens.config import DEFAULT_COST, CostParams
 from shiplens.operators.enrich import enrich
-from shiplens.operators.measures import CUBE, build_cube
+from shiplens.operators.measures import CUBE, CUBE_KEYS, build_cube
 from shiplens.plans import registry
 from shiplens.sources.raw import typed_order_lines
 
@@ -40,10 +43,11 @@ def order_line_stream(spark: SparkSession, source_dir: str, header: list[str],
 
 def _write_batch(out_dir: str, params: CostParams):
     def handle(batch: DataFrame, batch_id: int) -> None:
-        enriched = enrich(batch, params).withColumn("batch_id", F.lit(batch_id))
-        (enriched.write.mode("append").partitionBy("order_month")
-         .parquet(os.path.join(out_dir, "order_enriched")))
-        (build_cube(enriched).write.mode("overwrite")
+        spark = batch.sparkSession
+        lines_path = os.path.join(out_dir, "order_enriched", f"batch_id={batch_id}")
+        enrich(batch, params).write.mode("overwrite").partitionBy("order_month").parquet(lines_path)
+        delta = spark.read.parquet(lines_path)
+        (build_cube(delta).write.mode("overwrite")
          .parquet(os.path.join(out_dir, "cube", f"batch_id={batch_id}")))
     return handle
 
@@ -62,6 +66,23 @@ def cube_deltas(spark: SparkSession, out_dir: str) -> DataFrame:
     return spark.read.parquet(os.path.join(out_dir, "cube"))
 
 
+def compact_cube(spark: SparkSession, out_dir: str, target: str) -> str:
+    """Re-aggregate all cube deltas to one cube at ``target`` (sums of sums,
+    min of mins); KPIs over it equal KPIs over the deltas."""
+    deltas = cube_deltas(spark, out_dir)
+    keys = list(CUBE_KEYS)
+    aggs = []
+    for c in deltas.columns:
+        if c.startswith(("n__", "s__")):
+            aggs.append(F.sum(c).alias(c))
+        elif c.startswith("lo__"):
+            aggs.append(F.min(c).alias(c))
+        elif c.startswith("hi__"):
+            aggs.append(F.max(c).alias(c))
+    deltas.groupBy(*keys).agg(*aggs).write.mode("overwrite").parquet(target)
+    return target
+
+
 def kpi_from_deltas(spark: SparkSession, out_dir: str, name: str) -> DataFrame:
     """Any aggregate query of the registry, over the cube deltas."""
     q = registry.QUERIES[name]

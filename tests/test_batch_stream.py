@@ -42,7 +42,8 @@ def test_streaming_deltas_match_batch(spark, tmp_out):
         .alias(header) for header, (name, kind) in RAW_COLUMNS.items()])
     raw.repartition(2).write.option("header", True).csv(src)
 
-    from shiplens.streaming import kpi_from_deltas, order_line_stream, start_incremental
+    from shiplens.operators.measures import CUBE
+    from shiplens.streaming import compact_cube, kpi_from_deltas, order_line_stream, start_incremental
     stream = order_line_stream(spark, src, list(RAW_COLUMNS), max_files_per_trigger=1)
     q = start_incremental(stream, os.path.join(tmp_out, "out"), os.path.join(tmp_out, "ckpt"))
     q.awaitTermination(300)
@@ -51,3 +52,9 @@ def test_streaming_deltas_match_batch(spark, tmp_out):
         got = kpi_from_deltas(spark, os.path.join(tmp_out, "out"), name)
         want = registry.run(name, spark, SF_SMALL)
         assert _sorted(got) == _sorted(want), name
+    assert len(os.listdir(os.path.join(tmp_out, "out", "cube"))) >= 2  # one delta per batch
+    compacted = spark.read.parquet(compact_cube(spark, os.path.join(tmp_out, "out"),
+                                                os.path.join(tmp_out, "compact")))
+    q = registry.QUERIES["kpi_topline_summary"]
+    got = present(q.fn(compacted, CUBE), q)
+    assert _sorted(got) == _sorted(registry.run("kpi_topline_summary", spark, SF_SMALL))
