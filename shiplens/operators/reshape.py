@@ -11,14 +11,23 @@ def to_long(df: DataFrame, ids, values, name: str = "metric", value: str = "valu
     return df.unpivot(list(ids), list(values), name, value)
 
 
-def with_total_row(detail: DataFrame, key: str, label: str, totals: dict[str, Column]) -> DataFrame:
-    """Append one total row computed from ``detail`` itself (a small table).
-
-    ``totals`` maps output column -> aggregate over the detail rows; other
-    columns are NULL on the total row.
+def with_total_row(detail: DataFrame, key: str, label: str, totals, flag: str = "is_total") -> DataFrame:
+    """Append a total row to a small aggregated table, in one lineage.
+
+    Each detail row is exploded into itself and its contribution to the
+    total row (``totals``: columns summed into the total; other columns are
+    NULL there), then the rows are re-aggregated. The detail plan runs once:
+    no second branch re-reads or re-aggregates the input, whatever columns
+    the total needs. The re-aggregation sees at most two rows per detail row.
     """
-    total = detail.agg(*[c.alias(n) for n, c in totals.items()]).withColumn(key, F.lit(label))
-    return detail.unionByName(total, allowMissingColumns=True)
+    values = [c for c in detail.columns if c != key]
+    types = dict(detail.dtypes)
+    own = F.struct(F.col(key).alias(key), F.lit(False).alias(flag),
+                   *[F.col(c).alias(c) for c in values])
+    tot = F.struct(F.lit(label).alias(key), F.lit(True).alias(flag),
+                   *[(F.col(c) if c in totals else F.lit(None).cast(types[c])).alias(c) for c in values])
+    rows = detail.select(F.explode(F.array(own, tot)).alias("r")).select("r.*")
+    return rows.groupBy(key, flag).agg(*[F.sum(c).cast(types[c]).alias(c) for c in values])
 
 
 def relabel(df: DataFrame, labels: dict[str, str], keep_unlabelled: bool = False) -> DataFrame:

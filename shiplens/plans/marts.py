@@ -215,9 +215,11 @@ TOTAL_LABEL = "TOTAL / NETWORK AVG"
 
 
 def wb_otif_by_carrier(df, g=LINES):
-    """Carrier sheet: counts, rates from counts, 2-dp averages, a total row."""
+    """Carrier sheet: counts, rates from counts, 2-dp averages, a total row
+    (orders, OTIF orders and the order-weighted OTIF rate)."""
     from shiplens.operators.filters import non_null_keys
     from shiplens.operators.measures import mean, orders
+    from shiplens.operators.reshape import with_total_row
 
     detail = non_null_keys(df, ["shipping_mode"]).groupBy("shipping_mode").agg(
         orders(g).alias("orders"),
@@ -227,18 +229,12 @@ def wb_otif_by_carrier(df, g=LINES):
         F.bround(mean(g, "transit_variance_days"), 2).alias("avg_transit_variance"),
         F.bround(mean(g, "cost_per_order"), 2).alias("avg_cost_per_order"),
     )
-    detail = detail.withColumns({
+    out = with_total_row(detail, "shipping_mode", TOTAL_LABEL, ("orders", "otif_orders"))
+    return out.withColumns({
         "otif_rate": safe_div(F.col("otif_orders"), F.col("orders")),
         "on_time_rate": safe_div(F.col("on_time_orders"), F.col("orders")),
         "cancel_rate": safe_div(F.col("cancelled_orders"), F.col("orders")),
-        "is_total": F.lit(False),
     })
-    total = detail.agg(F.sum("orders").alias("orders"), F.sum("otif_orders").alias("otif_orders"))
-    total = total.select(
-        F.lit(TOTAL_LABEL).alias("shipping_mode"), "orders", "otif_orders",
-        safe_div(F.col("otif_orders"), F.col("orders")).alias("otif_rate"),
-        F.lit(True).alias("is_total"))
-    return detail.unionByName(total, allowMissingColumns=True)
 
 
 def wb_edd_by_carrier(df, g=LINES):
@@ -256,21 +252,38 @@ def wb_edd_by_carrier(df, g=LINES):
 
 
 def wb_pareto(df, g=LINES):
-    """Region and category Pareto blocks stacked with a dimension label."""
-    blocks = []
-    for label, key in (("By Region", "order_region"), ("By Category", "category_name")):
-        p = kpis.failed_by(df, key, g)
-        blocks.append(p.select(
-            F.lit(label).alias("dimension"), F.col(key).alias("key"), "failed_orders",
-            F.bround(F.col("reshipment_cost"), 2).alias("reshipment_cost"), "cum_pct"))
-    return blocks[0].unionByName(blocks[1])
+    """Region and category Pareto blocks stacked with a dimension label.
+
+    Both blocks come from one scan of the failed lines: a grouping-sets
+    aggregate ((region), (category)), then a running share per block.
+    """
+    from pyspark.sql import Window
+
+    from shiplens.operators.measures import orders, total
+
+    failed = df.where(F.col("is_cancelled") == 1)
+    agg = failed.groupingSets([["order_region"], ["category_name"]], "order_region", "category_name").agg(
+        F.grouping("order_region").alias("_g_region"),
+        orders(g).alias("failed_orders"),
+        total(g, "reshipment_cost").alias("reshipment_cost"))
+    by_region = F.col("_g_region") == 0
+    blocks = agg.select(
+        F.when(by_region, F.lit("By Region")).otherwise(F.lit("By Category")).alias("dimension"),
+        F.when(by_region, F.col("order_region")).otherwise(F.col("category_name")).alias("key"),
+        "failed_orders", "reshipment_cost").where(F.col("key").isNotNull())
+    running = (Window.partitionBy("dimension").orderBy(F.col("failed_orders").desc(), F.col("key").asc())
+               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return blocks.select(
+        "dimension", "key", "failed_orders", F.bround(F.col("reshipment_cost"), 2).alias("reshipment_cost"),
+        (F.sum("failed_orders").over(running) / F.sum("failed_orders").over(Window.partitionBy("dimension")))
+        .alias("cum_pct"))
 
 
 def wb_savings_by_lever(df, g=LINES, sp=DEFAULT_SCENARIO):
-    lv = kpis.savings_by_lever(df, g, sp).withColumn("is_total", F.lit(False))
-    total = lv.agg(F.sum("annual_savings").alias("annual_savings")).select(
-        F.lit("TOTAL").alias("lever"), "annual_savings", F.lit(True).alias("is_total"))
-    return lv.unionByName(total, allowMissingColumns=True)
+    from shiplens.operators.reshape import with_total_row
+
+    lv = kpis.savings_by_lever(df, g, sp)
+    return with_total_row(lv, "lever", "TOTAL", ("annual_savings",))
 
 
 # Workbook sheet names and column display labels.

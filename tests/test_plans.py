@@ -53,3 +53,12 @@ def test_pruning_and_pushdown(spark):
     assert "o_totalprice" not in scan and "PushedFilters: [IsNotNull(o_orderpriority)" in scan
     part = [l for l in plan.splitlines() if "FileScan parquet" in l and "part.parquet" in l][0]
     assert "p_type" not in part  # category not needed -> not read
+
+
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
+def test_fact_table_scanned_once(spark, name):
+    """No query re-reads the lines in a second branch (total rows, stacked
+    blocks and shares all come from one lineage)."""
+    plan = _plan(registry.run(name, spark, SF_SMALL))
+    scans = [l for l in plan.splitlines() if "FileScan parquet" in l and "lineitem.parquet" in l]
+    assert len(scans) == 1, name
