@@ -40,7 +40,6 @@ class Query:
     amounts: tuple = ()
     ratios: tuple = ()
     order: tuple = field(default=())  # column names; "-name" = descending
-    doc: str = ""
 
 
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
