@@ -22,9 +22,15 @@ CUBE_KEYS = (
     "order_month", "order_year", "order_region", "shipping_mode",
     "customer_segment", "category_name", "market", "is_cancelled",
 )
-# Columns whose non-NULL count and sum the cube keeps.
-CUBE_MEASURES = (
-    "order_id", "is_on_time", "is_otif", "is_cancelled", "edd_met", "border_adj_on_time",
+# Columns whose non-NULL count the cube keeps (order counts and means).
+CUBE_COUNTS = (
+    "order_id", "transit_variance_days", "sched_days", "real_days", "cost_per_order",
+    "margin_leakage", "sales",
+)
+# Columns whose sum the cube keeps (flags never hold NULL: their rates use
+# the row count).
+CUBE_SUMS = (
+    "is_on_time", "is_otif", "is_cancelled", "edd_met", "border_adj_on_time",
     "transit_variance_days", "sched_days", "real_days", "cost_per_order",
     "margin_leakage", "reshipment_cost", "qty", "sales", "qty_surcharge",
 )
@@ -65,9 +71,13 @@ class _Cube:
         return F.coalesce(F.sum(_when(F.col("n__rows"), where)), F.lit(0)).cast("long")
 
     def n(self, col: str, where: Column | None = None) -> Column:
+        if col not in CUBE_COUNTS:
+            raise KeyError(f"the cube keeps no count of {col!r}; add it to CUBE_COUNTS")
         return F.coalesce(F.sum(_when(F.col(f"n__{col}"), where)), F.lit(0)).cast("long")
 
     def s(self, col: str, where: Column | None = None) -> Column:
+        if col not in CUBE_SUMS:
+            raise KeyError(f"the cube keeps no sum of {col!r}; add it to CUBE_SUMS")
         return F.sum(_when(F.col(f"s__{col}"), where))
 
     def lo(self, col: str) -> Column:
@@ -85,8 +95,8 @@ def build_cube(enriched: DataFrame) -> DataFrame:
     """Pre-aggregate enriched lines to the cube grain (size bounded by the key
     domains, not by the number of lines)."""
     aggs = [F.count(F.lit(1)).alias("n__rows")]
-    for c in CUBE_MEASURES:
-        aggs += [F.count(c).alias(f"n__{c}"), F.sum(c).alias(f"s__{c}")]
+    aggs += [F.count(c).alias(f"n__{c}") for c in CUBE_COUNTS]
+    aggs += [F.sum(c).alias(f"s__{c}") for c in CUBE_SUMS]
     for c in CUBE_EXTREMES:
         aggs += [F.min(c).alias(f"lo__{c}"), F.max(c).alias(f"hi__{c}")]
     return enriched.groupBy(*CUBE_KEYS).agg(*aggs)
