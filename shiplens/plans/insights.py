@@ -13,7 +13,7 @@ from shiplens.config import BASELINE_TIER, LANE_CROSS_BORDER
 from shiplens.functions.nullsafe import safe_div
 from shiplens.operators.filters import non_null_keys
 from shiplens.operators.measures import LINES, mean, orders, rate, total
-from shiplens.operators.pareto import with_cum_share, with_rank
+from shiplens.operators.pareto import with_rank
 from shiplens.plans import kpis
 
 def _whole():
@@ -108,5 +108,5 @@ def otif_by_year_carrier(df: DataFrame, g=LINES) -> DataFrame:
 __all__ = [
     "tier_cost_ratio", "otif_monthly_range", "pareto_top3_share", "failure_vs_volume",
     "customs_on_time_gap", "routing_guide", "failure_impact", "leakage_vs_cost_share",
-    "leakage_cost_corr", "otif_by_year_carrier", "with_cum_share",
+    "leakage_cost_corr", "otif_by_year_carrier",
 ]
