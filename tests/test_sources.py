@@ -85,3 +85,14 @@ def test_kpi_sink_csv_and_summary_lookup(spark, tmp_out, small_enriched):
 def test_unknown_format_rejected(small_enriched, tmp_out):
     with pytest.raises(ValueError):
         write_kpi(small_enriched.limit(1), os.path.join(tmp_out, "x"), "xlsx")
+
+
+def test_sized_conf_scales_with_input():
+    from shiplens.session import TARGET_PARTITION_BYTES, sized_conf
+
+    small = sized_conf(10 * 1024 ** 2)
+    huge = sized_conf(100 * 1024 ** 4)  # 100 TiB
+    assert int(small["spark.sql.shuffle.partitions"]) == 8
+    assert int(huge["spark.sql.shuffle.partitions"]) == 200_000 or \
+        int(huge["spark.sql.shuffle.partitions"]) * TARGET_PARTITION_BYTES >= 50 * 1024 ** 4
+    assert huge["spark.sql.files.maxPartitionBytes"] == str(TARGET_PARTITION_BYTES)
