@@ -77,9 +77,9 @@ joined AS (
          {case_map('o.o_orderpriority', PRIORITY_MODE)} AS mode_
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
-  JOIN customer c ON o.o_custkey = c.c_custkey
-  JOIN nation n ON c.c_nationkey = n.n_nationkey
-  JOIN part p ON l.l_partkey = p.p_partkey
+  LEFT JOIN customer c ON o.o_custkey = c.c_custkey
+  LEFT JOIN nation n ON c.c_nationkey = n.n_nationkey
+  LEFT JOIN part p ON l.l_partkey = p.p_partkey
 ),
 order_lines AS (
   SELECT

@@ -86,20 +86,32 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     meets that on the order key and part on the part key. The fact-side
     join carries a ``merge`` hint: lineitem grows with the data, so it is
     never a broadcast candidate, whatever a size estimate says. The other
-    joins are left to Spark's size checks (nation is 25 rows and is
-    broadcast; customer and part become sort-merge joins once they pass the
-    broadcast threshold). A hot key on any join is split by AQE's skew-join
-    handling.
+    joins are left to Spark's size checks (nation is broadcast; customer
+    and part become sort-merge joins past the broadcast threshold), and a
+    hot key on any join is split by AQE's skew-join handling.
+
+    Dimension attributes are looked up with LEFT joins against sides made
+    distinct on their key (they are primary keys; the de-duplication states
+    it to the optimizer). Catalyst then removes a lookup whose columns a
+    query does not use: a KPI without product category never joins part,
+    one without region, segment or market never joins customer, saving a
+    full shuffle of the lines each. A line whose dimension row is missing
+    is kept with NULL attributes (unknown region -> default zone, NULL
+    group keys dropped), it does not vanish.
     """
     read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
     lineitem, orders, customer, nation, part = (
         read(t) for t in ("lineitem", "orders", "customer", "nation", "part"))
+    nation = nation.dropDuplicates(["n_nationkey"])
+    part = part.dropDuplicates(["p_partkey"])
 
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey)
-    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey)
+    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+    cust = cust.dropDuplicates(["c_custkey"])
+    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
     lines = (lineitem.hint("merge")
              .join(order_cust, lineitem.l_orderkey == order_cust.o_orderkey)
-             .join(part, lineitem.l_partkey == part.p_partkey))
+             .join(part, lineitem.l_partkey == part.p_partkey, "left"))
+
     nk = F.col("c_nationkey")
     mode = F.try_element_at(_literal_map(PRIORITY_MODE), F.col("o_orderpriority"))
     real_days = F.pmod(F.datediff(F.col("l_shipdate"), F.col("o_orderdate")), F.lit(TRANSIT_WEEK))
