@@ -116,7 +116,7 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     mode = F.try_element_at(_literal_map(PRIORITY_MODE), F.col("o_orderpriority"))
     real_days = F.pmod(F.datediff(F.col("l_shipdate"), F.col("o_orderdate")), F.lit(TRANSIT_WEEK))
     sched_days = F.try_element_at(_literal_map(MODE_SCHED_DAYS), mode)
-    region_by_key = F.element_at(F.array(*[F.lit(r) for r in NATION_REGIONS]), nk + 1)
+    region_by_key = F.try_element_at(F.array(*[F.lit(r) for r in NATION_REGIONS]), nk + 1)
     return lines.select(
         F.col("l_orderkey").alias("order_id"),
         F.concat_ws("|", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",
