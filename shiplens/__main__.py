@@ -30,6 +30,8 @@ def main(argv=None) -> dict:
     ap.add_argument("--workbook", action="store_true", help="also export the workbook sheets as CSV")
     ap.add_argument("--no-lines", action="store_true", help="do not write the enriched order lines")
     ap.add_argument("--files-per-month", type=int, default=None)
+    ap.add_argument("--rebalance", action="store_true",
+                    help="AQE-balanced month files (use with --input-bytes on a cluster)")
     ap.add_argument("--noise-sigma", type=float, default=CostParams().noise_sigma)
     ap.add_argument("--input-bytes", type=int, default=None)
     a = ap.parse_args(argv)
@@ -39,7 +41,8 @@ def main(argv=None) -> dict:
     paths = run_batch(spark, a.out, sf_dir=a.sf_dir, raw_csv=a.raw_csv,
                       params=CostParams(noise_sigma=a.noise_sigma),
                       kpi_format="csv" if a.csv else "parquet", write_lines=not a.no_lines,
-                      files_per_month=a.files_per_month, workbook=a.workbook, encoding=a.encoding)
+                      files_per_month=a.files_per_month, workbook=a.workbook, encoding=a.encoding,
+                      rebalance=a.rebalance)
     print(json.dumps(paths, indent=1))
     return paths
 

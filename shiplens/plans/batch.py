@@ -72,14 +72,15 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               raw_csv: str | None = None, params: CostParams = DEFAULT_COST,
               tables=KPI_TABLES, kpi_format: str = "parquet", write_lines: bool = True,
               files_per_month: int | None = None, parallel_jobs: int = 8,
-              workbook: bool = False, encoding: str = "ISO-8859-1") -> dict[str, str]:
+              workbook: bool = False, encoding: str = "ISO-8859-1",
+              rebalance: bool = False) -> dict[str, str]:
     """Run the whole pipeline; returns {table name: path}."""
     lines = load_order_lines(spark, sf_dir, raw_csv, encoding)
     enriched = enrich(lines, params)
     paths = {}
     if write_lines:
         paths["order_enriched"] = os.path.join(out_dir, "order_enriched")
-        write_enriched(enriched, paths["order_enriched"], files_per_month)
+        write_enriched(enriched, paths["order_enriched"], files_per_month, rebalance)
         enriched = read_enriched(spark, paths["order_enriched"])
 
     paths["_cube"] = os.path.join(out_dir, "_cube")

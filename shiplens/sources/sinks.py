@@ -28,16 +28,22 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     return fallback
 
 
-def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None) -> None:
+def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None,
+                   rebalance: bool = False) -> None:
     """Enriched order lines -> parquet partitioned by month (overwrite).
 
-    By default there is no shuffle: each task writes the months it holds
-    (cheap when the input is clustered by date, as order exports are). With
-    ``files_per_month`` the lines are first hash-spread over
-    (month, bucket), so one month never lands in a single task however
-    large it is, and each month gets about that many files.
+    - default: no shuffle; each task writes the months it holds (cheap when
+      the input arrives clustered by date, as order exports do);
+    - ``rebalance``: a REBALANCE hint on the month, for clusters whose
+      shuffle is sized from the input (partitions >> months, see
+      ``session.sized_conf``). AQE then splits a hot month (say a third of
+      all lines) into advisory-size chunks and coalesces small months;
+    - ``files_per_month``: explicit hash-spreading over (month, bucket), so
+      each month gets at most that many files and never a single task.
     """
-    if files_per_month:
+    if rebalance:
+        df = df.hint("rebalance", "order_month")
+    elif files_per_month:
         bucket = F.pmod(F.xxhash64("line_key"), F.lit(int(files_per_month)))
         df = df.repartition("order_month", bucket)
     df.write.mode("overwrite").partitionBy("order_month").parquet(path)

@@ -72,6 +72,12 @@ def test_enriched_sink_partitions_by_month(spark, tmp_out, small_enriched):
     assert "PartitionFilters: [isnotnull(order_month" in one._jdf.queryExecution().executedPlan().toString()
 
 
+def test_enriched_sink_rebalanced(spark, tmp_out, small_enriched):
+    path = os.path.join(tmp_out, "enriched_rb")
+    write_enriched(small_enriched, path, rebalance=True)
+    assert spark.read.parquet(path).count() == small_enriched.count()
+
+
 def test_kpi_sink_csv_and_summary_lookup(spark, tmp_out, small_enriched):
     from shiplens.plans import kpis
 
