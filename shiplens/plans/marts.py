@@ -36,7 +36,8 @@ def chart_otif_by_carrier(df, g=LINES):
         "shipping_mode", "orders",
         (F.col("otif_rate") * PCT).alias("otif_pct"),
         (F.avg("otif_rate").over(whole) * PCT).alias("network_avg_pct"),
-        (F.max("otif_rate").over(whole) * PCT + 12).alias("axis_max_pct"))
+        (F.max("otif_rate").over(whole) * PCT + 12).alias("axis_max_pct"),
+        pct_text(F.col("otif_rate")).alias("label"))
 
 
 def chart_otif_monthly(df, g=LINES):
@@ -51,20 +52,23 @@ def chart_cost_by_region(df, g=LINES, n: int = 12):
     regions = kpis.cost_by_region(df, g).select(
         "order_region", "orders", "total_cost",
         safe_div(F.col("total_cost"), F.col("orders")).alias("avg_cpo"),
-        (F.col("total_cost") / 1000).alias("total_cost_k"))
+        (F.col("total_cost") / 1000).alias("total_cost_k"),
+        thousands_text(F.col("total_cost")).alias("label"))
     return _top(regions, n, F.col("total_cost").desc(), F.col("order_region").asc())
 
 
 def chart_leakage_by_region(df, g=LINES, n: int = 10):
     regions = kpis.cost_by_region(df, g).select(
         "order_region", "total_margin_leakage",
-        (F.col("total_margin_leakage") / 1000).alias("total_margin_leakage_k"))
+        (F.col("total_margin_leakage") / 1000).alias("total_margin_leakage_k"),
+        thousands_text(F.col("total_margin_leakage")).alias("label"))
     return _top(regions, n, F.col("total_margin_leakage").desc(), F.col("order_region").asc())
 
 
 def chart_edd_by_carrier(df, g=LINES):
     return kpis.edd_by_carrier(df, g).select(
-        "shipping_mode", (F.col("edd_met_rate") * PCT).alias("edd_met_pct"), "avg_variance")
+        "shipping_mode", (F.col("edd_met_rate") * PCT).alias("edd_met_pct"), "avg_variance",
+        pct_text(F.col("edd_met_rate")).alias("label"))
 
 
 def chart_pareto(df, key: str, g=LINES, n: int = 10):
@@ -92,7 +96,8 @@ def chart_cross_border(df, g=LINES):
     """Lane x 3 rates in long form, in percent."""
     k10 = kpis.cross_border_summary(df, g).select("lane", *CROSS_BORDER_METRICS)
     long = k10.unpivot(["lane"], list(CROSS_BORDER_METRICS), "metric", "rate")
-    return long.select("lane", "metric", (F.col("rate") * PCT).alias("value_pct"))
+    return long.select("lane", "metric", (F.col("rate") * PCT).alias("value_pct"),
+                       pct_text(F.col("rate")).alias("label"))
 
 
 def corporate_surge(df, g=LINES, k: float = 1.0):

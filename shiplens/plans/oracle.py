@@ -309,6 +309,10 @@ def _fmt_pct(x: str) -> str:
     return f"format('{{:,.1f}}', CAST({x} AS DOUBLE) * 100) || '%'"
 
 
+def _fmt_k(x: str) -> str:
+    return f"'$' || format('{{:,.0f}}', CAST({x} AS DOUBLE) / 1000) || 'k'"
+
+
 def _cards() -> str:
     values = [
         _fmt_count("total_orders"),
@@ -403,14 +407,14 @@ def _wb_pareto() -> str:
 
 def _cross_border_long() -> str:
     return "\nUNION ALL ".join(
-        f"SELECT lane, {q(m)} AS metric, {m} * {dbl(100.0)} AS value_pct FROM k10" for m in CROSS_BORDER_METRICS)
+        f"SELECT lane, {q(m)} AS metric, {m} * {dbl(100.0)} AS value_pct, {_fmt_pct(m)} AS label FROM k10"
+        for m in CROSS_BORDER_METRICS)
 
 
 def _bodies() -> dict[str, tuple]:
     """name -> (body SQL, extra CTEs, noise sigma)."""
     wb_otif_body, wb_otif_cte = _wb_otif_by_carrier()
-    savings_label = (f"'$' || format('{{:,.0f}}', annual_savings / 1000) || 'k (' || "
-                     f"format('{{:,.1f}}', pct_of_total_cost * 100) || '%)'")
+    savings_label = f"{_fmt_k('annual_savings')} || ' (' || {_fmt_pct('pct_of_total_cost')} || ')'"
     return {
         # filters
         "filter_shipped_status": (f"SELECT {LINE_VIEW_SQL} FROM kept", ""),
@@ -481,17 +485,20 @@ FROM (SELECT *,
         # charts / dashboard
         "chart_otif_by_carrier": (f"""SELECT shipping_mode, orders, otif_rate * {dbl(100.0)} AS otif_pct,
   avg(otif_rate) OVER () * {dbl(100.0)} AS network_avg_pct,
-  max(otif_rate) OVER () * {dbl(100.0)} + 12 AS axis_max_pct FROM ({K1}) k1""", ""),
+  max(otif_rate) OVER () * {dbl(100.0)} + 12 AS axis_max_pct, {_fmt_pct('otif_rate')} AS label
+  FROM ({K1}) k1""", ""),
         "chart_otif_monthly": (f"""SELECT order_month, strftime(strptime(order_month, '%Y-%m'), '%Y-%m-%d') AS month_start,
   otif_rate * {dbl(100.0)} AS otif_pct, on_time_rate * {dbl(100.0)} AS on_time_pct FROM ({K3}) k3""", ""),
         "chart_cost_by_region": (_top(f"""SELECT order_region, orders, total_cost,
-  {sdiv('total_cost', 'orders')} AS avg_cpo, total_cost / 1000 AS total_cost_k FROM ({REGION_CELLS}) r""",
+  {sdiv('total_cost', 'orders')} AS avg_cpo, total_cost / 1000 AS total_cost_k,
+  {_fmt_k('total_cost')} AS label FROM ({REGION_CELLS}) r""",
                                       12, "total_cost DESC, order_region ASC"), ""),
         "chart_leakage_by_region": (_top(f"""SELECT order_region, total_margin_leakage,
-  total_margin_leakage / 1000 AS total_margin_leakage_k FROM ({REGION_CELLS}) r""",
+  total_margin_leakage / 1000 AS total_margin_leakage_k, {_fmt_k('total_margin_leakage')} AS label
+  FROM ({REGION_CELLS}) r""",
                                          10, "total_margin_leakage DESC, order_region ASC"), ""),
-        "chart_edd_by_carrier": (f"SELECT shipping_mode, edd_met_rate * {dbl(100.0)} AS edd_met_pct, avg_variance "
-                                 f"FROM ({K6}) k6", ""),
+        "chart_edd_by_carrier": (f"SELECT shipping_mode, edd_met_rate * {dbl(100.0)} AS edd_met_pct, avg_variance, "
+                                 f"{_fmt_pct('edd_met_rate')} AS label FROM ({K6}) k6", ""),
         "chart_pareto_region": (f"SELECT order_region, failed_orders, cum_pct * {dbl(100.0)} AS cum_pct_100 FROM "
                                 f"({_top(_failed_by('order_region'), 10, 'failed_orders DESC, order_region ASC')}) t",
                                 ""),
