@@ -76,3 +76,21 @@ def test_fact_table_scanned_once(spark, name):
     plan = _plan(registry.run(name, spark, SF_SMALL))
     scans = [l for l in plan.splitlines() if "FileScan parquet" in l and "lineitem.parquet" in l]
     assert len(scans) == 1, name
+
+
+def test_plan_shape_once_tables_are_large(spark):
+    """With the broadcast threshold below every table but nation (what a
+    cluster sees at scale): nation is the only broadcast, lineitem is shuffled
+    by order key and then part key, dimension lookups are sort-merge joins."""
+    big = spark.newSession()
+    for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"):
+        big.conf.set(k, str(4 * 1024))
+    plan = _plan(registry.run("kpi_failed_delivery_category", big, SF_SMALL))
+    lines = plan.splitlines()
+    broadcast_scans = []
+    for i, l in enumerate(lines):
+        if "BroadcastExchange" in l:
+            broadcast_scans += [x for x in lines[i + 1:i + 4] if "FileScan parquet" in x]
+    assert broadcast_scans and all("nation.parquet" in x for x in broadcast_scans)
+    assert plan.count("SortMergeJoin") == 3
+    assert "Exchange hashpartitioning(l_orderkey" in plan and "Exchange hashpartitioning(l_partkey" in plan
