@@ -28,6 +28,8 @@ def main(argv=None) -> dict:
     ap.add_argument("--encoding", default="ISO-8859-1")
     ap.add_argument("--csv", action="store_true", help="write KPI tables as header CSV, not parquet")
     ap.add_argument("--workbook", action="store_true", help="also export the workbook sheets as CSV")
+    ap.add_argument("--marts", action="store_true",
+                    help="also write the chart / dashboard / workbook / finding datasets")
     ap.add_argument("--no-lines", action="store_true", help="do not write the enriched order lines")
     ap.add_argument("--files-per-month", type=int, default=None)
     ap.add_argument("--rebalance", action="store_true",
@@ -42,7 +44,7 @@ def main(argv=None) -> dict:
                       params=CostParams(noise_sigma=a.noise_sigma),
                       kpi_format="csv" if a.csv else "parquet", write_lines=not a.no_lines,
                       files_per_month=a.files_per_month, workbook=a.workbook, encoding=a.encoding,
-                      rebalance=a.rebalance)
+                      rebalance=a.rebalance, marts=a.marts)
     print(json.dumps(paths, indent=1))
     return paths
 

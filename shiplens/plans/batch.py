@@ -7,8 +7,9 @@
    executor costs a re-read, not a re-run of ingest and enrichment.
 4. Build the cube (one hash aggregate with partial aggregation before the
    shuffle; its size is bounded by the key domains) and write it.
-5. Derive all KPI tables (and, optionally, the chart / workbook / finding
-   datasets) from the cube and write each one.
+5. Derive all KPI tables (and, optionally, the chart / dashboard /
+   workbook / finding datasets under ``marts/`` and display-labelled
+   workbook CSVs) from the cube and write each one.
 
 Only step 2-4 touch line-level data; every KPI table costs a scan of the
 small cube instead of a scan of the lines.
@@ -42,6 +43,11 @@ KPI_TABLES = (
 )
 
 
+def mart_tables() -> list[str]:
+    """Chart, dashboard, workbook and finding datasets (all cube-derivable)."""
+    return [n for n in registry.aggregate_queries() if n not in KPI_TABLES]
+
+
 def load_order_lines(spark: SparkSession, sf_dir: str | None = None, raw_csv: str | None = None,
                      encoding: str = "ISO-8859-1") -> DataFrame:
     if raw_csv is not None:
@@ -73,7 +79,7 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               tables=KPI_TABLES, kpi_format: str = "parquet", write_lines: bool = True,
               files_per_month: int | None = None, parallel_jobs: int = 8,
               workbook: bool = False, encoding: str = "ISO-8859-1",
-              rebalance: bool = False) -> dict[str, str]:
+              rebalance: bool = False, marts: bool = False) -> dict[str, str]:
     """Run the whole pipeline; returns {table name: path}."""
     lines = load_order_lines(spark, sf_dir, raw_csv, encoding)
     enriched = enrich(lines, params)
@@ -88,14 +94,16 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
     cube = spark.read.parquet(paths["_cube"]).cache()
 
     def one(name: str) -> tuple[str, str]:
-        path = os.path.join(out_dir, name)
+        folder = out_dir if name in KPI_TABLES else os.path.join(out_dir, "marts")
+        path = os.path.join(folder, name)
         write_kpi(kpi_from_cube(name, cube), path, kpi_format)
         return name, path
 
-    # The KPI jobs are small and independent: submit a few at once so the
+    # The table jobs are small and independent: submit a few at once so the
     # scheduler overlaps them.
+    names = list(tables) + (mart_tables() if marts else [])
     with ThreadPoolExecutor(max_workers=max(1, parallel_jobs)) as pool:
-        paths.update(dict(pool.map(one, tables)))
+        paths.update(dict(pool.map(one, names)))
     if workbook:
         paths.update({f"workbook:{k}": v for k, v in export_workbook(cube, out_dir, parallel_jobs).items()})
     cube.unpersist()

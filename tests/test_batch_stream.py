@@ -23,6 +23,13 @@ def test_batch_writes_all_kpis_equal_to_direct_queries(spark, tmp_out):
         assert _sorted(got) == _sorted(want), name
 
 
+def test_batch_writes_marts(spark, tmp_out):
+    paths = batch.run_batch(spark, tmp_out, sf_dir=SF_SMALL, tables=(), write_lines=False, marts=True)
+    assert set(batch.mart_tables()) <= set(paths)
+    for name in ("dashboard_cards", "chart_cost_by_region", "routing_guide"):
+        assert _sorted(spark.read.parquet(paths[name])) == _sorted(registry.run(name, spark, SF_SMALL)), name
+
+
 def test_workbook_export_uses_display_labels(spark, tmp_out):
     paths = batch.run_batch(spark, tmp_out, sf_dir=SF_SMALL, tables=("kpi_otif_by_carrier",),
                             write_lines=False, workbook=True)
