@@ -31,6 +31,8 @@ def main(argv=None) -> dict:
     ap.add_argument("--marts", action="store_true",
                     help="also write the chart / dashboard / workbook / finding datasets")
     ap.add_argument("--no-lines", action="store_true", help="do not write the enriched order lines")
+    ap.add_argument("--source-headers", action="store_true",
+                    help="name key columns as in the raw export (e.g. 'Shipping Mode'); with --csv")
     ap.add_argument("--files-per-month", type=int, default=None)
     ap.add_argument("--rebalance", action="store_true",
                     help="AQE-balanced month files (use with --input-bytes on a cluster)")
@@ -44,7 +46,8 @@ def main(argv=None) -> dict:
                       params=CostParams(noise_sigma=a.noise_sigma),
                       kpi_format="csv" if a.csv else "parquet", write_lines=not a.no_lines,
                       files_per_month=a.files_per_month, workbook=a.workbook, encoding=a.encoding,
-                      rebalance=a.rebalance, marts=a.marts)
+                      rebalance=a.rebalance, marts=a.marts,
+                      source_headers=a.source_headers and a.csv)
     print(json.dumps(paths, indent=1))
     return paths
 

@@ -28,7 +28,7 @@ from shiplens.operators.measures import CUBE, build_cube
 from shiplens.operators.reshape import relabel
 from shiplens.plans import registry
 from shiplens.plans.marts import WORKBOOK_SHEETS
-from shiplens.sources.raw import read_raw_csv, typed_order_lines
+from shiplens.sources.raw import RAW_COLUMNS, read_raw_csv, typed_order_lines
 from shiplens.sources.sinks import read_enriched, write_enriched, write_kpi
 from shiplens.sources.testdata import order_lines_from_tables
 
@@ -57,6 +57,15 @@ def load_order_lines(spark: SparkSession, sf_dir: str | None = None, raw_csv: st
     return order_lines_from_tables(spark, sf_dir)
 
 
+# Our column name -> the raw export's header (for CSVs read by tools that
+# expect the export's key names, e.g. "Shipping Mode").
+SOURCE_HEADERS = {ours: header for header, (ours, _) in RAW_COLUMNS.items()}
+
+
+def with_source_headers(df: DataFrame) -> DataFrame:
+    return df.withColumnsRenamed({c: SOURCE_HEADERS[c] for c in df.columns if c in SOURCE_HEADERS})
+
+
 def kpi_from_cube(name: str, cube: DataFrame) -> DataFrame:
     q = registry.QUERIES[name]
     return registry.present(q.fn(cube, CUBE), q)
@@ -79,7 +88,8 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               tables=KPI_TABLES, kpi_format: str = "parquet", write_lines: bool = True,
               files_per_month: int | None = None, parallel_jobs: int = 8,
               workbook: bool = False, encoding: str = "ISO-8859-1",
-              rebalance: bool = False, marts: bool = False) -> dict[str, str]:
+              rebalance: bool = False, marts: bool = False,
+              source_headers: bool = False) -> dict[str, str]:
     """Run the whole pipeline; returns {table name: path}."""
     lines = load_order_lines(spark, sf_dir, raw_csv, encoding)
     enriched = enrich(lines, params)
@@ -96,7 +106,8 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
     def one(name: str) -> tuple[str, str]:
         folder = out_dir if name in KPI_TABLES else os.path.join(out_dir, "marts")
         path = os.path.join(folder, name)
-        write_kpi(kpi_from_cube(name, cube), path, kpi_format)
+        table = kpi_from_cube(name, cube)
+        write_kpi(with_source_headers(table) if source_headers else table, path, kpi_format)
         return name, path
 
     # The table jobs are small and independent: submit a few at once so the

@@ -78,7 +78,9 @@ def test_command_line_on_raw_csv(spark, tmp_out):
         (F.date_format(F.col(name), "M/d/yyyy H:mm") if kind == "ts" else F.col(name).cast("string"))
         .alias(header) for header, (name, kind) in RAW_COLUMNS.items()
     ]).write.option("header", True).option("encoding", "ISO-8859-1").csv(src)
-    paths = main(["--raw-csv", src, "--out", os.path.join(tmp_out, "out"), "--csv", "--no-lines"])
+    paths = main(["--raw-csv", src, "--out", os.path.join(tmp_out, "out"), "--csv", "--no-lines",
+                  "--source-headers"])
     got = spark.read.option("header", True).option("inferSchema", True).csv(paths["kpi_otif_by_carrier"])
+    assert got.columns[0] == "Shipping Mode"
     want = registry.run("kpi_otif_by_carrier", spark, SF_SMALL)
     assert sorted(r.orders for r in got.collect()) == sorted(r.orders for r in want.collect())
