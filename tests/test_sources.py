@@ -102,3 +102,11 @@ def test_sized_conf_scales_with_input():
     assert int(huge["spark.sql.shuffle.partitions"]) == 200_000 or \
         int(huge["spark.sql.shuffle.partitions"]) * TARGET_PARTITION_BYTES >= 50 * 1024 ** 4
     assert huge["spark.sql.files.maxPartitionBytes"] == str(TARGET_PARTITION_BYTES)
+
+
+def test_quoted_fields_with_commas(spark, tmp_out):
+    path = os.path.join(tmp_out, "quoted.csv")
+    row = _row(**{"Category Name": '"Tennis & Racquet, Pro"', "Customer City": '"Saint-Jean, QC"'})
+    _csv(path, [row])
+    r = typed_order_lines(read_raw_csv(spark, path)).first()
+    assert r.category_name == "Tennis & Racquet, Pro" and r.sales == 99.5 and r.qty == 2
