@@ -6,7 +6,8 @@
    is the job's lineage cut: later stages re-read shared storage, so a lost
    executor costs a re-read, not a re-run of ingest and enrichment.
 4. Build the cube (one hash aggregate with partial aggregation before the
-   shuffle; its size is bounded by the key domains) and write it.
+   shuffle; its size is bounded by the key domains) and write it to the
+   session's shared checkpoint folder (``spark.checkpoint.dir``).
 5. Derive all KPI tables (and, optionally, the chart / dashboard /
    workbook / finding datasets under ``marts/`` and display-labelled
    workbook CSVs) from the cube and write each one.
@@ -18,6 +19,7 @@ small cube instead of a scan of the lines.
 from __future__ import annotations
 
 import os
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +31,7 @@ from shiplens.operators.reshape import relabel
 from shiplens.plans import registry
 from shiplens.plans.marts import WORKBOOK_SHEETS
 from shiplens.sources.raw import RAW_COLUMNS, read_raw_csv, typed_order_lines
-from shiplens.sources.sinks import read_enriched, write_enriched, write_kpi
+from shiplens.sources.sinks import checkpoint_dir, read_enriched, write_enriched, write_kpi
 from shiplens.sources.testdata import order_lines_from_tables
 
 # The 17 tables of the source pipeline, in its order.
@@ -99,7 +101,11 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
         write_enriched(enriched, paths["order_enriched"], files_per_month, rebalance)
         enriched = read_enriched(spark, paths["order_enriched"])
 
-    paths["_cube"] = os.path.join(out_dir, "_cube")
+    # The cube is an intermediate: it goes to the cluster's shared checkpoint
+    # folder (spark.checkpoint.dir); only when the session names none is one
+    # set inside the caller's output folder.
+    work = checkpoint_dir(spark, fallback=os.path.join(out_dir, "_checkpoint"))
+    paths["_cube"] = os.path.join(work, f"shiplens_cube_{uuid.uuid4().hex}")
     build_cube(enriched).write.mode("overwrite").parquet(paths["_cube"])
     cube = spark.read.parquet(paths["_cube"]).cache()
 
