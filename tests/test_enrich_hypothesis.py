@@ -74,3 +74,31 @@ def test_enrichment_matches_pandas_formulas(make_lines, rows):
         for col in ("is_on_time", "is_cancelled", "is_otif", "edd_met", "modeled_shipping_cost",
                     "reshipment_cost", "margin_leakage"):
             assert _same(getattr(g, col), w[col]), (col, w.to_dict(), g)
+
+
+def _pd_close(a, b) -> bool:
+    return _same(a, b)
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(row, min_size=1, max_size=15))
+def test_group_aggregates_match_pandas_groupby(make_lines, rows):
+    from shiplens.plans import kpis
+
+    lines = make_lines([{**r, "line_key": f"k{i}"} for i, r in enumerate(rows)])
+    e = enrich(lines, NO_NOISE)
+    p = pandas_enrich(pd.DataFrame([{**r, "line_key": f"k{i}", "order_id": 1} for i, r in enumerate(rows)]))
+    want = p.groupby("order_region").agg(
+        orders=("order_id", "count"), otif_rate=("is_otif", "mean"),
+        avg_cost_per_order=("modeled_shipping_cost", "mean"))
+    got = {r.order_region: r for r in kpis.otif_by_region(e).collect()}
+    assert set(got) == set(want.index)
+    for region, w in want.iterrows():
+        g = got[region]
+        assert g.orders == w["orders"]
+        assert _pd_close(g.otif_rate, w["otif_rate"]) and _pd_close(g.avg_cost_per_order, w["avg_cost_per_order"])
+    cells = p.groupby(["order_region", "shipping_mode"]).agg(total_cost=("modeled_shipping_cost", "sum"))
+    got_cells = {(r.order_region, r.shipping_mode): r.total_cost for r in kpis.cpo_region_carrier(e).collect()}
+    assert set(got_cells) == set(cells.index)
+    for key, w in cells.iterrows():
+        assert _pd_close(got_cells[key], w["total_cost"])
