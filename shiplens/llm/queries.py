@@ -4,9 +4,10 @@ parameters, to its whole table, and derives the digest columns."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shiplens.llm import packing, wavelet
-from shiplens.llm.common import new_table_path
+from shiplens.llm import mixing, packing, reply_trees, sanitize, toxicity, wavelet
+from shiplens.llm.common import new_table_path, saved
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +18,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents")))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return toxicity.digest(toxicity.score_documents(docs, model))
+
+
+def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = reply_trees.linear_turns(table.unionByName(reply_trees.control_conversation(spark)))
+    return reply_trees.digest(reply_trees.format_conversations(saved(turns, "turns")))
+
+
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "wavelet")
     wavelet.write_token_files(_table(spark, sf_dir, "documents"), path)
     return wavelet.digest(wavelet.read_token_files(spark, path))
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op5_wavelet)}
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select(
+        "doc_id", F.array("source").alias("sources"), mixing.word_count(F.col("text")).alias("size"))
+    return mixing.mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op10_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitize.digest(sanitize.find_personal_data(_table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_packing, op3_toxicity, op4_reply_trees, op5_wavelet, op9_mixing, op10_sanitize)}
