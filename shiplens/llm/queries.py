@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiplens.llm import mixing, packing, reply_trees, sanitize, toxicity, wavelet
+from shiplens.llm import mixing, packing, reply_trees, sanitize, setsketch, toxicity, wavelet
 from shiplens.llm.common import new_table_path, saved
 
 
@@ -36,6 +36,10 @@ def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.digest(wavelet.read_token_files(spark, path))
 
 
+def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", F.array("source").alias("sources"), mixing.word_count(F.col("text")).alias("size"))
@@ -47,4 +51,4 @@ def op10_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_toxicity, op4_reply_trees, op5_wavelet, op9_mixing, op10_sanitize)}
+    op1_packing, op3_toxicity, op4_reply_trees, op5_wavelet, op6_setsketch, op9_mixing, op10_sanitize)}
