@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiplens.llm.common import chunks_by_bytes
-from shiplens.llm.tokens import IdEncoder
+from shiplens.llm.tokens import shared_encoder
 
 PIECES = ("doc_id bigint, start bigint, length bigint, doc_tokens bigint, sequence_id bigint, "
           "offset bigint, ids binary")
@@ -103,7 +103,7 @@ def pack_documents(docs: DataFrame, window: int = 2048, end_id: int = 1,
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, bins = IdEncoder(tokenizer), SumOfSquares(window)
+        encoder, bins = shared_encoder(tokenizer), SumOfSquares(window)
         next_id = TaskContext.get().partitionId() << 33
         rows: list = []
 

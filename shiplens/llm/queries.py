@@ -6,7 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiplens.llm import mixing, packing, reply_trees, sanitize, setsketch, toxicity, wavelet
+from shiplens.llm import (exact_topk, mixing, packing, permutation_index, reply_trees, sanitize, setsketch,
+                          toxicity, wavelet)
 from shiplens.llm.common import new_table_path, saved
 
 
@@ -18,6 +19,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(packing.pack_documents(_table(spark, sf_dir, "documents")))
 
 
+def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = exact_topk.whole_numbers(_table(spark, sf_dir, "embeddings"))
+    return exact_topk.top_k(rows, F.col("vec_id") % 50 == 0, k=5)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -33,13 +39,17 @@ def op4_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_table_path(spark, "wavelet")
     wavelet.write_token_files(_table(spark, sf_dir, "documents"), path)
-    return wavelet.digest(wavelet.read_token_files(spark, path))
+    return wavelet.read_token_files(spark, path, with_ids=False)
 
 
 def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select(
         "doc_id", F.array("source").alias("sources"), mixing.word_count(F.col("text")).alias("size"))
@@ -51,4 +61,5 @@ def op10_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_packing, op3_toxicity, op4_reply_trees, op5_wavelet, op6_setsketch, op9_mixing, op10_sanitize)}
+    op1_packing, op2_exact_topk, op3_toxicity, op4_reply_trees, op5_wavelet, op6_setsketch,
+    op8_permutation_index, op9_mixing, op10_sanitize)}

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -37,7 +38,7 @@ class IdEncoder:
     other is encoded each time), not what can be encoded.
     """
 
-    def __init__(self, path: str | None = None, max_units: int = 400_000):
+    def __init__(self, path: str | None = None, max_units: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or tokenizer_path())
@@ -82,3 +83,9 @@ class IdEncoder:
         for u in fresh[:max(0, len(known) - self.max_units)]:
             del known[u]
         return out
+
+
+@lru_cache(maxsize=2)
+def shared_encoder(path: str | None = None) -> IdEncoder:
+    """One encoder per Python worker, so its look-up table serves later tasks too."""
+    return IdEncoder(path)

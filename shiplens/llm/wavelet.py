@@ -17,6 +17,7 @@ of its own; an empty table gives no file and no row; other columns are ignored.
 from __future__ import annotations
 
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from shiplens.llm.common import chunks_by_bytes
-from shiplens.llm.tokens import IdEncoder
+from shiplens.llm.tokens import shared_encoder
 
 MAGIC = b"WMX1"
 _HEAD = struct.Struct("<4sIQQ")  # magic, planes, tokens, documents
@@ -168,7 +169,7 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, shard_tokens:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = IdEncoder(tokenizer)
+        encoder = shared_encoder(tokenizer)
         shard = TaskContext.get().partitionId() << 32
         docs_in, parts, held = [], [], 0
 
@@ -201,9 +202,11 @@ def write_token_files(docs: DataFrame, path: str, end_id: int = 0, shard_tokens:
      .mapInPandas(run, FILES).write.option("compression", "none").parquet(path))
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """Per document of the files: doc_id, ``start`` (ids of all documents before
-    it), n_tokens, and its ids as little-endian unsigned 32-bit bytes."""
+    it), n_tokens, the crc32 of its ids as little-endian unsigned 32-bit
+    integers, and those bytes (``ids``; left out without ``with_ids``, so they
+    are not shuffled to meet their shard's start)."""
     files = spark.read.schema(FILES).parquet(path)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -215,18 +218,16 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 for i in range(0, len(ends), 2000):
                     e = ends[i:i + 2000]
                     s = e - f.lengths[i:i + 2000]
-                    yield pd.DataFrame({"shard": shard, "doc_id": f.doc_ids[i:i + 2000], "inside": s,
-                                        "n_tokens": e - s, "ids": [ids[4 * a:4 * b] for a, b in zip(s, e)]})
+                    own = [ids[4 * a:4 * b] for a, b in zip(s, e)]
+                    out = pd.DataFrame({"shard": shard, "doc_id": f.doc_ids[i:i + 2000], "inside": s,
+                                        "n_tokens": e - s, "ids_crc32": [zlib.crc32(x) for x in own]})
+                    yield out.assign(ids=own) if with_ids else out
 
     before = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")
     starts = files.select("shard", "n_tokens").select("shard", before.alias("before"))  # a row per file
     rows = files.select("shard", "file").mapInPandas(
-        run, "shard bigint, doc_id bigint, inside bigint, n_tokens bigint, ids binary")
+        run, "shard bigint, doc_id bigint, inside bigint, n_tokens bigint, ids_crc32 bigint" + ", ids binary" * with_ids)
     return rows.join(starts, "shard").select(
         F.when(F.col("doc_id") != NULL_ID, F.col("doc_id")).alias("doc_id"),
-        (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids")
+        (F.col("before") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32", *["ids"] * with_ids)
 
-
-def digest(documents: DataFrame) -> DataFrame:
-    """The documents read back with ``ids_crc32`` in place of their ids."""
-    return documents.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
