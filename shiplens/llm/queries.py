@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiplens.llm import (exact_topk, mixing, packing, permutation_index, reply_trees, sanitize, setsketch,
-                          toxicity, wavelet)
+from shiplens.llm import (exact_topk, fuzzy_lines, mixing, packing, permutation_index, reply_trees, sanitize,
+                          setsketch, toxicity, wavelet)
 from shiplens.llm.common import new_table_path, saved
 
 
@@ -46,6 +46,10 @@ def op6_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op7_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permutation_index.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
@@ -62,4 +66,4 @@ def op10_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_exact_topk, op3_toxicity, op4_reply_trees, op5_wavelet, op6_setsketch,
-    op8_permutation_index, op9_mixing, op10_sanitize)}
+    op7_fuzzy_lines, op8_permutation_index, op9_mixing, op10_sanitize)}
