@@ -169,3 +169,17 @@ def mix_sources(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: floa
         "taken", F.col("base") + F.greatest(F.lit(0), F.least(F.col("size"), room)))
     return clear.unionByName(cut).select("doc_id", "size", F.col("pattern").alias("sources"), "source_size",
                                          "target", "taken", "shares")
+
+
+def mixed_documents(docs: DataFrame, source: str = "source", **options) -> DataFrame:
+    """``docs``, all columns, as often as the mix takes them: a row per copy, and
+    for a document taken in part one more if at least half of it is taken.
+    Documents without words are not taken. Rows that repeat a doc_id are each
+    taken as the first of them."""
+    rows = docs.select("doc_id", F.array(source).alias("sources"), word_count(F.col("text")).alias("size"))
+    taken = mix_sources(rows, **options).where("size > 0 and 2 * taken >= size").groupBy("doc_id").agg(
+        F.max(F.floor(F.col("taken") / F.col("size") + 0.5)).cast("int").alias("__copies"))
+    taken = taken.withColumnRenamed("doc_id", "__doc")
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("__copies")))
+    return (docs.join(taken, docs["doc_id"].eqNullSafe(taken["__doc"]))
+            .withColumn("__copy", copies).select(*docs.columns))

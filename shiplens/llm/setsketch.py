@@ -264,6 +264,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
-    """``docs``, all columns, with one document of each group."""
-    dropped = near_duplicates(docs, threshold, width).where("not kept").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """``docs``, all columns, with one document of each group, and one row of
+    those that repeat a doc_id."""
+    found = saved(near_duplicates(docs, threshold, width), "near")
+    dropped = found.where("not kept").select("doc_id").distinct()
+    out = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    if not is_empty(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")):
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+    return out
