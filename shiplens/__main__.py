@@ -34,8 +34,11 @@ def main(argv=None) -> dict:
     ap.add_argument("--source-headers", action="store_true",
                     help="name key columns as in the raw export (e.g. 'Shipping Mode'); with --csv")
     ap.add_argument("--files-per-month", type=int, default=None)
-    ap.add_argument("--rebalance", action="store_true",
-                    help="AQE-balanced month files (use with --input-bytes on a cluster)")
+    ap.add_argument("--clustered", action="store_true",
+                    help="the input arrives clustered by month: write it without a shuffle")
+    ap.add_argument("--work-dir", help="shared folder for the cube (default: spark.checkpoint.dir, else --out)")
+    ap.add_argument("--multi-line", action="store_true", help="line breaks inside quoted CSV fields")
+    ap.add_argument("--max-reject-share", type=float, default=None)
     ap.add_argument("--noise-sigma", type=float, default=CostParams().noise_sigma)
     ap.add_argument("--input-bytes", type=int, default=None)
     a = ap.parse_args(argv)
@@ -46,7 +49,8 @@ def main(argv=None) -> dict:
                       params=CostParams(noise_sigma=a.noise_sigma),
                       kpi_format="csv" if a.csv else "parquet", write_lines=not a.no_lines,
                       files_per_month=a.files_per_month, workbook=a.workbook, encoding=a.encoding,
-                      rebalance=a.rebalance, marts=a.marts,
+                      clustered=a.clustered, marts=a.marts, work_dir=a.work_dir, multi_line=a.multi_line,
+                      max_reject_share=a.max_reject_share,
                       source_headers=a.source_headers and a.csv)
     print(json.dumps(paths, indent=1))
     return paths

@@ -23,12 +23,15 @@ def _uniform(hex_digest: Column, start: int) -> Column:
     return (word + F.lit(1.0)) / F.lit(_TWO_32_PLUS_1)  # in (0, 1)
 
 
-def keyed_normal(key: Column, seed: int, sigma: float) -> Column:
-    """``sigma * N(0,1)`` drawn deterministically from ``(seed, key)``."""
-    if sigma == 0:
-        return F.lit(0.0)
-    h = F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
-    u1 = _uniform(h, 1)
-    u2 = _uniform(h, 9)
+def key_digest(key: Column, seed: int) -> Column:
+    """The digest both uniforms of a line are read from."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), key.cast("string")))
+
+
+def keyed_normal(digest: Column, sigma: float) -> Column:
+    """``sigma * N(0,1)`` drawn from a line's digest; give it as a column, so it
+    is computed once."""
+    u1 = _uniform(digest, 1)
+    u2 = _uniform(digest, 9)
     z = F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
     return F.lit(float(sigma)) * z

@@ -16,16 +16,6 @@ AMOUNT_DP = 4
 RATIO_DP = 6
 
 
-def amount(c: Column) -> Column:
-    """Round an aggregated money / day amount to AMOUNT_DP decimals."""
-    return F.round(c, AMOUNT_DP)
-
-
-def ratio(c: Column) -> Column:
-    """Round a ratio of aggregated doubles to RATIO_DP decimals."""
-    return F.round(c, RATIO_DP)
-
-
 def half_even(c: Column, scale: int = 0) -> Column:
     """Banker's rounding (Python's ``round`` semantics)."""
     return F.bround(c, scale)

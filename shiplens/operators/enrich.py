@@ -13,7 +13,7 @@ from shiplens.config import (
     CANADA_REGION, CANCELLED_STATUSES, DEFAULT_COST, LANE_CROSS_BORDER, LANE_DOMESTIC,
     SHIPPING_CANCELED, CostParams,
 )
-from shiplens.functions.noise import keyed_normal
+from shiplens.functions.noise import key_digest, keyed_normal
 from shiplens.functions.nullsafe import flag, null_max
 from shiplens.operators.filters import shipped_status
 from shiplens.operators.lookups import with_base_rate, with_zone_factor
@@ -59,11 +59,15 @@ def with_cost_model(df: DataFrame, params: CostParams = DEFAULT_COST,
     qty = F.col("qty")
     surcharge = F.when(qty.isNotNull(),
                        F.greatest(qty - 1, F.lit(0)) * F.lit(params.qty_surcharge))
-    noise = keyed_normal(F.col("line_key"), params.noise_seed, params.noise_sigma)
-    raw_cost = F.col("base_ship_rate") * F.col("zone_factor") + surcharge + noise
-    cost = null_max(raw_cost, params.cost_floor)
+    raw_cost = F.col("base_ship_rate") * F.col("zone_factor") + surcharge
+    if params.noise_sigma:
+        df = df.withColumn("__digest", key_digest(F.col("line_key"), params.noise_seed))
+        raw_cost = raw_cost + keyed_normal(F.col("__digest"), params.noise_sigma)
+    # The cost is NULL exactly where the rate or the quantity is.
+    cost = F.when(F.col("base_ship_rate").isNotNull() & qty.isNotNull(),
+                  F.greatest(raw_cost, F.lit(params.cost_floor)))
     target = F.col("sales") * F.lit(params.target_ratio)
-    df = df.withColumns({"qty_surcharge": surcharge, "modeled_shipping_cost": cost})
+    df = df.withColumns({"qty_surcharge": surcharge, "modeled_shipping_cost": cost}).drop("__digest")
     cost = F.col("modeled_shipping_cost")
     return df.withColumns({
         "reshipment_cost": F.when(F.col("is_cancelled") == 1, cost).otherwise(F.lit(0.0)),

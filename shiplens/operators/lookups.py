@@ -2,9 +2,10 @@
 
 A card given as a dict (the default) becomes a literal map expression: no
 join, no exchange, evaluated inside whole-stage codegen. A card given as a
-DataFrame (e.g. loaded from a file) is left-joined; it is broadcast only
-after its row count is checked against ``max_broadcast_rows``, and beyond
-that Spark plans an ordinary shuffle join.
+DataFrame (e.g. loaded from a file) is left-joined; Spark broadcasts it when
+its bytes are below ``spark.sql.autoBroadcastJoinThreshold`` and plans an
+ordinary shuffle join beyond. A card that lists a key twice fails the query:
+it would multiply lines.
 """
 
 from __future__ import annotations
@@ -12,9 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiplens.config import BASE_RATE, DEFAULT_COST, ZONE_FACTOR, ZONE_SKIP_REGIONS
-
-MAX_BROADCAST_ROWS = 100_000
+from shiplens.config import BASE_RATE, DEFAULT_COST, ZONE_FACTOR
 
 
 def literal_lookup(card: dict, key: Column) -> Column:
@@ -27,22 +26,20 @@ def rate_card(spark: SparkSession, card: dict = BASE_RATE) -> DataFrame:
     return spark.createDataFrame(list(card.items()), "shipping_mode string, base_rate double")
 
 
-def zone_card(spark: SparkSession, card: dict = ZONE_FACTOR,
-              eligible=ZONE_SKIP_REGIONS) -> DataFrame:
-    rows = [(k, v, k in eligible) for k, v in card.items()]
-    return spark.createDataFrame(
-        rows, "order_region string, zone_factor double, zone_skip_eligible boolean")
+def zone_card(spark: SparkSession, card: dict = ZONE_FACTOR) -> DataFrame:
+    return spark.createDataFrame(list(card.items()), "order_region string, zone_factor double")
 
 
-def checked_broadcast(dim: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """``broadcast(dim)`` if it has at most ``max_rows`` rows, else ``dim``."""
-    n = dim.limit(max_rows + 1).count()
-    return F.broadcast(dim) if n <= max_rows else dim
+def unique_card(dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
+    """The card as (``__k``, ``out``), one row per key; a repeated key raises."""
+    repeated = F.raise_error(F.concat(F.lit(f"card lists {key} more than once: "), F.col("__k")))
+    card = dim.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("__k")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min(value).alias("__v"))
+    return card.select("__k", F.when(F.col("__n") > 1, repeated.cast("double")).otherwise(F.col("__v")).alias(out))
 
 
 def _join_lookup(df: DataFrame, dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
-    d = dim.select(F.col(key).alias("__k"), F.col(value).alias(out))
-    d = checked_broadcast(d)
+    d = unique_card(dim, key, value, out)
     return df.join(d, df[key] == d["__k"], "left").drop("__k")
 
 

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from shiplens.functions.nullsafe import safe_div
+
 
 def pareto_order(key: str, measure: str):
     return [F.col(measure).desc(), F.col(key).asc()]
@@ -22,7 +24,7 @@ def with_cum_share(agg: DataFrame, key: str, measure: str = "failed_orders",
     running = (Window.orderBy(*pareto_order(key, measure))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     whole = Window.partitionBy()
-    return agg.withColumn(out, F.sum(measure).over(running) / F.sum(measure).over(whole))
+    return agg.withColumn(out, safe_div(F.sum(measure).over(running), F.sum(measure).over(whole)))
 
 
 def with_vital_few(pareto: DataFrame, cut: float = 0.8, share: str = "cum_pct") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Reshapes: wide -> long, label columns, total rows."""
+"""Reshapes: total rows and display labels."""
 
 from __future__ import annotations
 
@@ -6,11 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def to_long(df: DataFrame, ids, values, name: str = "metric", value: str = "value") -> DataFrame:
-    """Unpivot ``values`` columns into (name, value) rows."""
-    return df.unpivot(list(ids), list(values), name, value)
-
-
 def with_total_row(detail: DataFrame, key: str, label: str, totals, flag: str = "is_total") -> DataFrame:
     """Append a total row to a small aggregated table, in one lineage.
 

@@ -6,12 +6,18 @@
    is the job's lineage cut: later stages re-read shared storage, so a lost
    executor costs a re-read, not a re-run of ingest and enrichment.
 4. Build the cube (one hash aggregate with partial aggregation before the
-   shuffle; its size is bounded by the key domains) and write it to the
-   session's shared checkpoint folder (``spark.checkpoint.dir``).
+   shuffle; its size is bounded by the key domains) and write it to the work
+   folder: ``work_dir``, or the shared folder the session names in
+   ``spark.checkpoint.dir``, or one inside the output folder. It is removed
+   when the job ends.
 5. Derive all KPI tables (and, optionally, the chart / dashboard /
    workbook / finding datasets under ``marts/`` and display-labelled
    workbook CSVs) from the cube and write each one.
 
+Nothing is lost silently: ``ingest_rejects`` (raw export: malformed rows,
+values that did not parse) and ``line_quality`` (lines without a month, lines
+on the default zone factor) are written next to the KPI tables.
+
 Only step 2-4 touch line-level data; every KPI table costs a scan of the
 small cube instead of a scan of the lines.
 """
@@ -30,8 +36,9 @@ from shiplens.operators.measures import CUBE, build_cube
 from shiplens.operators.reshape import relabel
 from shiplens.plans import registry
 from shiplens.plans.marts import WORKBOOK_SHEETS
-from shiplens.sources.raw import RAW_COLUMNS, read_raw_csv, typed_order_lines
-from shiplens.sources.sinks import checkpoint_dir, read_enriched, write_enriched, write_kpi
+from shiplens.plans.quality import check_rejects, line_quality
+from shiplens.sources.raw import RAW_COLUMNS, ingest_rejects, read_raw_csv, typed_order_lines
+from shiplens.sources.sinks import read_enriched, remove_path, work_folder, write_enriched, write_kpi
 from shiplens.sources.testdata import order_lines_from_tables
 
 # The 17 tables of the source pipeline, in its order.
@@ -90,24 +97,36 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               tables=KPI_TABLES, kpi_format: str = "parquet", write_lines: bool = True,
               files_per_month: int | None = None, parallel_jobs: int = 8,
               workbook: bool = False, encoding: str = "ISO-8859-1",
-              rebalance: bool = False, marts: bool = False,
-              source_headers: bool = False) -> dict[str, str]:
-    """Run the whole pipeline; returns {table name: path}."""
-    lines = load_order_lines(spark, sf_dir, raw_csv, encoding)
-    enriched = enrich(lines, params)
+              clustered: bool = False, marts: bool = False,
+              source_headers: bool = False, work_dir: str | None = None,
+              multi_line: bool = False, max_reject_share: float | None = None) -> dict[str, str]:
+    """Run the whole pipeline; returns {table name: path}.
+
+    ``max_reject_share``: fail before the KPI tables if more than this share of
+    the raw rows is malformed or has a value that does not parse.
+    """
     paths = {}
+    if raw_csv is not None:
+        raw = read_raw_csv(spark, raw_csv, encoding, multi_line)
+        paths["ingest_rejects"] = os.path.join(out_dir, "ingest_rejects")
+        write_kpi(ingest_rejects(raw), paths["ingest_rejects"], kpi_format)
+        if max_reject_share is not None:
+            check_rejects(ingest_rejects(raw).first().asDict(), max_reject_share)
+        lines = typed_order_lines(raw)
+    else:
+        lines = load_order_lines(spark, sf_dir)
+    enriched = enrich(lines, params)
     if write_lines:
         paths["order_enriched"] = os.path.join(out_dir, "order_enriched")
-        write_enriched(enriched, paths["order_enriched"], files_per_month, rebalance)
+        write_enriched(enriched, paths["order_enriched"], files_per_month, clustered)
         enriched = read_enriched(spark, paths["order_enriched"])
+    paths["line_quality"] = os.path.join(out_dir, "line_quality")
+    write_kpi(line_quality(enriched, params), paths["line_quality"], kpi_format)
 
-    # The cube is an intermediate: it goes to the cluster's shared checkpoint
-    # folder (spark.checkpoint.dir); only when the session names none is one
-    # set inside the caller's output folder.
-    work = checkpoint_dir(spark, fallback=os.path.join(out_dir, "_checkpoint"))
-    paths["_cube"] = os.path.join(work, f"shiplens_cube_{uuid.uuid4().hex}")
-    build_cube(enriched).write.mode("overwrite").parquet(paths["_cube"])
-    cube = spark.read.parquet(paths["_cube"]).cache()
+    work = work_dir or work_folder(spark, fallback=os.path.join(out_dir, "_work"))
+    cube_path = os.path.join(work, f"shiplens_cube_{uuid.uuid4().hex}")
+    build_cube(enriched).write.mode("overwrite").parquet(cube_path)
+    cube = spark.read.parquet(cube_path).cache()
 
     def one(name: str) -> tuple[str, str]:
         folder = out_dir if name in KPI_TABLES else os.path.join(out_dir, "marts")
@@ -124,4 +143,5 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
     if workbook:
         paths.update({f"workbook:{k}": v for k, v in export_workbook(cube, out_dir, parallel_jobs).items()})
     cube.unpersist()
+    remove_path(spark, cube_path)
     return paths

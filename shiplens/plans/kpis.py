@@ -18,7 +18,7 @@ from shiplens.config import (
     LEVER_A_LABEL, LEVER_B_LABEL, LEVER_C_LABEL, USCA_MARKET, ScenarioParams,
 )
 from shiplens.functions.nullsafe import safe_div
-from shiplens.operators.filters import non_null_keys
+from shiplens.operators.filters import failed_orders, market, non_null_keys, segment
 from shiplens.operators.measures import LINES, count_sum, mean, orders, rate, total
 from shiplens.operators.pareto import with_cum_share
 from shiplens.operators import scenario as lever
@@ -34,15 +34,7 @@ def lane_col() -> Column:
 
 
 def _usca(df: DataFrame) -> DataFrame:
-    return df.where(F.col("market") == USCA_MARKET).withColumn("lane", lane_col())
-
-
-def _failed(df: DataFrame) -> DataFrame:
-    return df.where(F.col("is_cancelled") == 1)
-
-
-def _corporate(df: DataFrame) -> DataFrame:
-    return df.where(F.col("customer_segment") == CORPORATE_SEGMENT)
+    return market(df).withColumn("lane", lane_col())
 
 
 # -- K1-K3: OTIF ---------------------------------------------------------------
@@ -116,7 +108,7 @@ def edd_by_carrier(df: DataFrame, g=LINES) -> DataFrame:
 # -- K7-K9: failed-delivery Pareto --------------------------------------------
 
 def failed_by(df: DataFrame, key: str, g=LINES, cum: bool = True) -> DataFrame:
-    agg = _by(_failed(df), [key],
+    agg = _by(failed_orders(df), [key],
               orders(g).alias("failed_orders"),
               total(g, "reshipment_cost").alias("reshipment_cost"))
     return with_cum_share(agg, key) if cum else agg
@@ -154,7 +146,7 @@ def cross_border_monthly(df: DataFrame, g=LINES) -> DataFrame:
 # -- K12-K14: Corporate segment --------------------------------------------------
 
 def corporate_monthly(df: DataFrame, g=LINES) -> DataFrame:
-    return _by(_corporate(df), ["order_month"],
+    return _by(segment(df), ["order_month"],
                orders(g).alias("orders"),
                count_sum(g, "qty").alias("total_units"),
                total(g, "sales").alias("total_sales"),
@@ -163,7 +155,7 @@ def corporate_monthly(df: DataFrame, g=LINES) -> DataFrame:
 
 
 def corporate_category(df: DataFrame, g=LINES) -> DataFrame:
-    return _by(_corporate(df), ["category_name"],
+    return _by(segment(df), ["category_name"],
                orders(g).alias("orders"),
                count_sum(g, "qty").alias("total_units"),
                total(g, "sales").alias("total_sales"),
@@ -289,7 +281,8 @@ TOPLINE_METRICS = (
 
 
 def topline_summary(df: DataFrame, g=LINES, sp: ScenarioParams = DEFAULT_SCENARIO) -> DataFrame:
-    """K19 as (metric, value) text rows; values rounded half-even."""
+    """K19 as (metric, value) text rows; values rounded half-even, with a fixed
+    number of places (0.4090, not 0.409); a missing value is NULL."""
     wide = topline_wide(df, g, sp)
     cols = []
     for name, dp in TOPLINE_METRICS:
@@ -299,7 +292,7 @@ def topline_summary(df: DataFrame, g=LINES, sp: ScenarioParams = DEFAULT_SCENARI
         elif dp is None:
             c = F.col(name).cast("string")
         else:
-            c = F.format_string(f"%.{dp}f", F.bround(F.col(name), dp))
+            c = F.when(F.col(name).isNotNull(), F.format_string(f"%.{dp}f", F.bround(F.col(name), dp)))
         cols.append(c.alias(name))
     names = [n for n, _ in TOPLINE_METRICS]
     return wide.select(*cols).unpivot([], names, "metric", "value")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiplens.config import DEFAULT_SCENARIO
 from shiplens.functions.nullsafe import safe_div
+from shiplens.functions.numeric import AMOUNT_DP, RATIO_DP
 from shiplens.functions.text import count_text, money_text, pct_text, thousands_text
 from shiplens.operators.measures import LINES
 from shiplens.operators.pareto import pareto_order, with_vital_few
@@ -49,7 +50,17 @@ def chart_otif_monthly(df, g=LINES):
 
 
 def chart_cost_by_region(df, g=LINES, n: int = 12):
-    regions = kpis.cost_by_region(df, g).select(
+    return _cost_chart(kpis.cost_by_region(df, g), n)
+
+
+def cost_by_region(cells: DataFrame, n: int = 12) -> DataFrame:
+    """The same chart from the stored region x carrier table."""
+    return _cost_chart(cells.groupBy("order_region").agg(
+        F.sum("orders").alias("orders"), F.sum("total_cost").alias("total_cost")), n)
+
+
+def _cost_chart(regions: DataFrame, n: int) -> DataFrame:
+    regions = regions.select(
         "order_region", "orders", "total_cost",
         safe_div(F.col("total_cost"), F.col("orders")).alias("avg_cpo"),
         (F.col("total_cost") / 1000).alias("total_cost_k"),
@@ -153,7 +164,17 @@ CARD_LABELS = (
 
 def dashboard_cards(df, g=LINES, sp=DEFAULT_SCENARIO):
     """Eight (card, label, value text) rows from the top-line summary."""
-    s = _summary_rounded(df, g, sp)
+    return cards(_summary_rounded(df, g, sp))
+
+
+def summary_from_stored(stored: DataFrame) -> DataFrame:
+    """The stored (metric, value) summary as one row of numbers."""
+    names = [name for name, _ in kpis.TOPLINE_METRICS if name != "date_range"]
+    return stored.agg(*[F.max(F.when(F.col("metric") == n, F.col("value").try_cast("double"))).alias(n) for n in names])
+
+
+def cards(s: DataFrame) -> DataFrame:
+    """The cards of a one-row summary."""
     texts = [
         count_text(F.col("total_orders")),
         pct_text(F.col("otif_rate")),
@@ -175,8 +196,8 @@ def dashboard_cards(df, g=LINES, sp=DEFAULT_SCENARIO):
 # -- workbook -------------------------------------------------------------------
 
 def wb_topline(df, g=LINES, sp=DEFAULT_SCENARIO):
-    """Topline sheet: 11 inputs (three counts derived from rounded rates)
-    and six derived ratios, as (metric, value) rows."""
+    """Topline sheet: 11 inputs (three counts derived from rounded rates), as
+    amounts, and six derived ratios, as (metric, value) rows."""
     s = _summary_rounded(df, g, sp)
     n = F.col("total_orders").cast("double")
     derived_count = lambda r: F.bround(F.col(r) * n, 0)
@@ -208,9 +229,10 @@ def wb_topline(df, g=LINES, sp=DEFAULT_SCENARIO):
     full = step.select("*", *[v.alias(k) for k, v in derived.items()])
     names = list(inputs) + list(derived)
     block = ["input"] * len(inputs) + ["derived"] * len(derived)
+    places = {"input": AMOUNT_DP, "derived": RATIO_DP}
     rows = F.array(*[
         F.struct(F.lit(i + 1).alias("row_no"), F.lit(b).alias("block"), F.lit(k).alias("metric"),
-                 c(k).alias("value"))
+                 F.round(c(k), places[b]).alias("value"))
         for i, (k, b) in enumerate(zip(names, block))
     ])
     return full.select(F.inline(rows))
@@ -280,7 +302,7 @@ def wb_pareto(df, g=LINES):
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return blocks.select(
         "dimension", "key", "failed_orders", F.bround(F.col("reshipment_cost"), 2).alias("reshipment_cost"),
-        (F.sum("failed_orders").over(running) / F.sum("failed_orders").over(Window.partitionBy("dimension")))
+        safe_div(F.sum("failed_orders").over(running), F.sum("failed_orders").over(Window.partitionBy("dimension")))
         .alias("cum_pct"))
 
 

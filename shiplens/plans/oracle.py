@@ -19,6 +19,7 @@ from shiplens.config import (
 from shiplens.functions.numeric import AMOUNT_DP, RATIO_DP
 from shiplens.plans.kpis import TOPLINE_METRICS
 from shiplens.plans.marts import CARD_LABELS, CROSS_BORDER_METRICS, TOTAL_LABEL
+from shiplens.plans.roundtrips import BAD_DATE_LINE, BAD_QTY_LINE
 from shiplens.sources.testdata import (
     MARKET_RANGES, MODE_SCHED_DAYS, NATION_REGIONS, PRIORITY_MODE, QTY_BUCKETS, SALES_DIVISOR,
     SEGMENT_MAP, TRANSIT_WEEK,
@@ -357,7 +358,7 @@ def _wb_topline() -> str:
     ]
     rows = [(k, "input", v) for k, v in inputs] + [(k, "derived", v) for k, v in derived]
     return "\nUNION ALL ".join(
-        f"SELECT {i + 1} AS row_no, {q(b)} AS block, {q(k)} AS metric, CAST({v} AS DOUBLE) AS value FROM sr"
+        f"SELECT {i + 1} AS row_no, {q(b)} AS block, {q(k)} AS metric, round(CAST({v} AS DOUBLE), {AMOUNT_DP if b == 'input' else RATIO_DP}) AS value FROM sr"
         for i, (k, b, v) in enumerate(rows))
 
 
@@ -556,12 +557,33 @@ FROM (SELECT *, row_number() OVER (ORDER BY failed_orders DESC, order_region ASC
                               f"FROM ({REGION_CELLS}) r", ""),
         "otif_by_year_carrier": (f"""SELECT order_year, shipping_mode, count(order_id) AS orders, {rate('is_otif')} AS otif_rate
 FROM enriched WHERE {nn('order_year', 'shipping_mode')} GROUP BY order_year, shipping_mode""", ""),
+        # sources, sinks and quality: what a round trip must not change
+        "csv_roundtrip_otif": (K1, ""),
+        "csv_ingest_rejects": (f"""SELECT count(*) FILTER (WHERE false) AS malformed_rows, count(*) AS raw_rows,
+  count(*) FILTER (WHERE line_no = {BAD_DATE_LINE}) AS rejected_order_ts,
+  count(*) FILTER (WHERE line_no = {BAD_QTY_LINE}) AS rejected_qty,
+  {', '.join(f'CAST(0 AS BIGINT) AS rejected_{c}' for c in ('order_id', 'ship_ts', 'real_days', 'sched_days', 'late_risk', 'sales'))}
+FROM (SELECT CAST(split_part(line_key, '|', 2) AS INTEGER) AS line_no FROM order_lines_r) x""", ""),
+        "line_quality": (f"""SELECT count(*) AS kept_lines, count(*) FILTER (WHERE order_month IS NULL) AS lines_without_month,
+  count(*) FILTER (WHERE base_ship_rate IS NULL) AS lines_without_rate,
+  count(*) FILTER (WHERE order_region IS NULL OR order_region NOT IN {in_list(ZONE_FACTOR)}) AS default_zone_lines
+FROM enriched""", ""),
+        "sink_enriched_monthly": (K3, ""),
+        "stored_kpi_summary": (_topline_text(), TW_CTE),
+        "stored_kpi_chart": (_top(f"""SELECT order_region, orders, total_cost,
+  {sdiv('total_cost', 'orders')} AS avg_cpo, total_cost / 1000 AS total_cost_k,
+  {_fmt_k('total_cost')} AS label FROM ({REGION_CELLS}) r""",
+                                  12, "total_cost DESC, order_region ASC"), ""),
+        "stored_kpi_cards": (_cards(), TW_CTE + ", " + _summary_rounded_cte()),
+        "stored_kpi_sheet": (f"""SELECT order_region AS "Order Region", count(order_id) AS "Orders", {rate('is_otif')} AS "OTIF Rate",
+  {mean('cost_per_order')} AS "Avg Cost/Order ($)"
+FROM enriched WHERE order_region IS NOT NULL GROUP BY order_region""", ""),
     }
 
 
 def _rounded(body: str, amounts, ratios) -> str:
-    repl = [f"round({c}, {AMOUNT_DP}) AS {c}" for c in amounts] + \
-           [f"round({c}, {RATIO_DP}) AS {c}" for c in ratios]
+    repl = [f'round("{c}", {AMOUNT_DP}) AS "{c}"' for c in amounts] + \
+           [f'round("{c}", {RATIO_DP}) AS "{c}"' for c in ratios]
     if not repl:
         return body
     return f"SELECT * REPLACE ({', '.join(repl)}) FROM (\n{body}\n) oracle_out"

@@ -25,7 +25,9 @@ from shiplens.operators.lookups import rate_card, with_base_rate, with_zone_fact
 from shiplens.plans import insights as R
 from shiplens.plans import kpis as K
 from shiplens.plans import marts as M
-from shiplens.sources.testdata import order_lines_from_tables
+from shiplens.plans import roundtrips as RT
+from shiplens.plans.quality import line_quality
+from shiplens.sources.testdata import DIMENSIONS, order_lines_from_tables
 
 NO_NOISE = CostParams(noise_sigma=0.0)
 
@@ -42,23 +44,26 @@ class Query:
     order: tuple = field(default=())  # column names; "-name" = descending
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return order_lines_from_tables(spark, sf_dir)
+def lines(spark: SparkSession, sf_dir: str, dims=DIMENSIONS) -> DataFrame:
+    return order_lines_from_tables(spark, sf_dir, dims)
 
 
-def enriched(spark: SparkSession, sf_dir: str, params: CostParams = DEFAULT_COST) -> DataFrame:
-    return E.enrich(lines(spark, sf_dir), params)
+def enriched(spark: SparkSession, sf_dir: str, params: CostParams = DEFAULT_COST, dims=DIMENSIONS) -> DataFrame:
+    return E.enrich(lines(spark, sf_dir, dims), params)
 
 
 def present(df: DataFrame, q: Query) -> DataFrame:
-    """Apply the stable decimal places of ``q`` (and its order, if any)."""
-    repl = {c: F.round(F.col(c), AMOUNT_DP) for c in q.amounts}
-    repl.update({c: F.round(F.col(c), RATIO_DP) for c in q.ratios})
+    """Apply the stable decimal places of ``q`` (and its order, if any).
+
+    Ordered results are aggregates bounded by the key domains, so they are
+    sorted in one partition, without the sampling job of a range exchange."""
+    repl = {c: F.round(F.col(f"`{c}`"), AMOUNT_DP) for c in q.amounts}
+    repl.update({c: F.round(F.col(f"`{c}`"), RATIO_DP) for c in q.ratios})
     out = df.withColumns(repl) if repl else df
     if not q.order:
         return out
     keys = [F.col(k[1:]).desc() if k.startswith("-") else F.col(k).asc() for k in q.order]
-    return out.orderBy(*keys)
+    return out.repartition(1).sortWithinPartitions(*keys)
 
 
 # -- row-level queries -----------------------------------------------------------
@@ -94,7 +99,7 @@ def q_parse_order_dates(spark, sf_dir):
     from shiplens.config import RAW_DATE_FORMAT
     from shiplens.sources.raw import parse_raw_ts
 
-    text = flt.shipped_status(lines(spark, sf_dir)).select(
+    text = flt.shipped_status(lines(spark, sf_dir, ())).select(
         "line_key",
         F.date_format("order_ts", RAW_DATE_FORMAT).alias("order_text"),
         F.date_format("ship_ts", RAW_DATE_FORMAT).alias("ship_text"))
@@ -105,27 +110,27 @@ def q_parse_order_dates(spark, sf_dir):
 
 
 def q_order_month_year(spark, sf_dir):
-    df = E.with_calendar(flt.shipped_status(lines(spark, sf_dir)))
+    df = E.with_calendar(flt.shipped_status(lines(spark, sf_dir, ())))
     return df.select("line_key", F.date_format("order_ts", "yyyy-MM-dd").alias("order_date"),
                      "order_month", "order_year")
 
 
 def q_delivery_flags(spark, sf_dir):
-    df = E.with_delivery_flags(flt.shipped_status(lines(spark, sf_dir)))
+    df = E.with_delivery_flags(flt.shipped_status(lines(spark, sf_dir, ())))
     return df.select("line_key", "order_status", "delivery_status", "real_days", "sched_days",
                      "is_on_time", "is_late", "is_cancelled", "is_in_full", "is_otif",
                      "transit_variance_days", "edd_met")
 
 
 def q_lookup_base_rate(spark, sf_dir):
-    """Rate card as a dimension table: size-checked broadcast left join."""
-    df = with_base_rate(flt.shipped_status(lines(spark, sf_dir)), rate_card(spark))
+    """Rate card as a dimension table: left join on unique keys."""
+    df = with_base_rate(flt.shipped_status(lines(spark, sf_dir, ())), rate_card(spark))
     return df.select("line_key", "shipping_mode", "base_ship_rate")
 
 
 def q_lookup_zone_factor(spark, sf_dir):
-    """Zone card as a dimension table: size-checked broadcast left join + default."""
-    df = with_zone_factor(flt.shipped_status(lines(spark, sf_dir)), zone_card(spark))
+    """Zone card as a dimension table: left join on unique keys + default."""
+    df = with_zone_factor(flt.shipped_status(lines(spark, sf_dir, ("customer",))), zone_card(spark))
     return df.select("line_key", "order_region", "zone_factor")
 
 
@@ -136,25 +141,30 @@ COST_COLS = ("line_key", "shipping_mode", "order_region", "qty", "is_cancelled",
 
 def q_cost_model(spark, sf_dir):
     """Deterministic part of the cost model (noise sigma 0)."""
-    return enriched(spark, sf_dir, NO_NOISE).select(*COST_COLS)
+    return enriched(spark, sf_dir, NO_NOISE, ("customer",)).select(*COST_COLS)
 
 
 def q_cost_model_noise(spark, sf_dir):
     """Cost model with the keyed invoice-variance noise (sigma 0.6, seed 42)."""
-    return enriched(spark, sf_dir).select(*COST_COLS)
+    return enriched(spark, sf_dir, dims=("customer",)).select(*COST_COLS)
 
 
 def q_margin_leakage(spark, sf_dir):
-    return enriched(spark, sf_dir).select("line_key", "sales", "cost_per_order",
+    return enriched(spark, sf_dir, dims=("customer",)).select("line_key", "sales", "cost_per_order",
                                           "target_ship_cost", "margin_leakage")
 
 
 def q_cross_border_lines(spark, sf_dir):
-    return flt.market(enriched(spark, sf_dir)).select(
+    return flt.market(enriched(spark, sf_dir, dims=("customer",))).select(
         "line_key", "order_region", "real_days", "sched_days", "is_canada", "lane",
         "border_adj_real_days", "border_adj_on_time")
 
 
+def q_line_quality(spark, sf_dir):
+    """Kept lines, and those without month, without rate, or on the default zone."""
+    return line_quality(enriched(spark, sf_dir, dims=("customer",)))
+
+
 # -- the query table ---------------------------------------------------------------
 
 COST_ROW = ("base_ship_rate", "zone_factor", "qty_surcharge", "modeled_shipping_cost",
@@ -265,7 +275,7 @@ QUERIES: dict[str, Query] = {
                                     ratios=("pct_of_total_cost",)),
     "dashboard_cards": Query(fn=M.dashboard_cards, order=("card",)),
     # workbook datasets
-    "wb_topline": Query(fn=M.wb_topline, amounts=("value",), order=("row_no",)),
+    "wb_topline": Query(fn=M.wb_topline, order=("row_no",)),  # rounds its rows itself
     "wb_otif_by_carrier": Query(fn=M.wb_otif_by_carrier,
                                 ratios=RATES + ("avg_transit_variance", "avg_cost_per_order"),
                                 order=("is_total", "-orders", "shipping_mode")),
@@ -297,13 +307,39 @@ QUERIES: dict[str, Query] = {
                                    ratios=("cost_share", "leakage_share")),
     "leakage_cost_corr": Query(fn=R.leakage_cost_corr, ratios=("cost_leakage_corr",)),
     "otif_by_year_carrier": Query(fn=R.otif_by_year_carrier, ratios=("otif_rate",)),
+    # sources, sinks and quality
+    "csv_roundtrip_otif": Query(RT.csv_roundtrip_otif, ratios=RATES + ("avg_transit_variance", "avg_cost_per_order")),
+    "csv_ingest_rejects": Query(RT.csv_ingest_rejects),
+    "line_quality": Query(q_line_quality),
+    "sink_enriched_monthly": Query(RT.sink_enriched_monthly, ratios=("otif_rate", "on_time_rate")),
+    "stored_kpi_summary": Query(RT.stored_kpi_summary),
+    "stored_kpi_chart": Query(RT.stored_kpi_chart, amounts=("total_cost", "total_cost_k"), ratios=("avg_cpo",)),
+    "stored_kpi_cards": Query(RT.stored_kpi_cards, order=("card",)),
+    "stored_kpi_sheet": Query(RT.stored_kpi_sheet, ratios=("OTIF Rate", "Avg Cost/Order ($)")),
 }
 
 
+# Dimensions an aggregate query looks up; the others need customer alone.
+NO_DIMENSION = frozenset((
+    "kpi_otif_monthly", "kpi_edd_by_carrier", "chart_otif_by_carrier", "chart_otif_monthly",
+    "chart_edd_by_carrier", "wb_edd_by_carrier", "otif_monthly_range", "otif_by_year_carrier",
+))
+PART_ONLY = frozenset(("chart_pareto_category", "failure_vs_volume"))
+BOTH = frozenset(("kpi_failed_delivery_category", "kpi_corporate_category", "chart_corporate_mix", "wb_pareto"))
+
+
+def dimensions(name: str) -> tuple:
+    if name in NO_DIMENSION:
+        return ()
+    return ("part",) if name in PART_ONLY else DIMENSIONS if name in BOTH else ("customer",)
+
+
 def build(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The unrounded result of query ``name`` over the tables in ``sf_dir``."""
     q = QUERIES[name]
-    return q.fn(enriched(spark, sf_dir)) if q.fn is not None else q.build(spark, sf_dir)
+    if q.fn is None:
+        return q.build(spark, sf_dir)
+    return q.fn(enriched(spark, sf_dir, dims=dimensions(name)))
 
 
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:

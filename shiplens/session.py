@@ -21,7 +21,6 @@ JOB_CONF = {
 }
 
 TARGET_PARTITION_BYTES = 256 * 1024 * 1024
-MAX_SHUFFLE_PARTITIONS = 200_000
 
 
 def sized_conf(input_bytes: int, shuffled_fraction: float = 0.5) -> dict[str, str]:
@@ -29,12 +28,13 @@ def sized_conf(input_bytes: int, shuffled_fraction: float = 0.5) -> dict[str, st
 
     The widest shuffles here are the adapter joins (the lines' projected
     columns, roughly half the input); aggregates shuffle only partial
-    results. Scan splits and reducer partitions both target
+    results. The number of partitions grows with the input without a cap, so
+    a reducer's share does not. Scan splits and reducer partitions both target
     ``TARGET_PARTITION_BYTES``; AQE then coalesces small reducers and splits
     skewed ones (a key holding a third of the rows becomes many tasks).
     """
     shuffled = max(1, int(input_bytes * shuffled_fraction))
-    partitions = min(MAX_SHUFFLE_PARTITIONS, max(8, math.ceil(shuffled / TARGET_PARTITION_BYTES)))
+    partitions = max(8, math.ceil(shuffled / TARGET_PARTITION_BYTES))
     target = str(TARGET_PARTITION_BYTES)
     return {
         "spark.sql.files.maxPartitionBytes": target,

@@ -2,9 +2,11 @@
 
 The export has 53 text columns; 16 are used. The file is read with all
 columns as strings (no inference pass over the data), the used columns are
-selected by header name (CSV column pruning keeps the rest unparsed),
-renamed to snake_case once and cast with ``try_cast`` / ``try_to_timestamp``
-so one bad value gives NULL instead of failing the job.
+selected by header name,
+renamed to snake_case once and cast without raising, so one bad value gives
+NULL instead of failing the job. Rows whose number of fields differs from the
+header's are set aside in ``MALFORMED`` and counted; dates are parsed straight
+to zoneless timestamps, so the session's time zone plays no part.
 """
 
 from __future__ import annotations
@@ -36,19 +38,36 @@ RAW_COLUMNS = {
 }
 
 
-def read_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
-    """Raw export as string columns (header row, latin-1 by default)."""
-    return (spark.read
-            .option("header", True)
-            .option("encoding", encoding)
-            .option("inferSchema", False)
-            .option("mode", "PERMISSIVE")
-            .csv(path))
+#: Holds the text of a row that does not fit the header, else NULL.
+MALFORMED = "_malformed"
+
+
+def csv_options(encoding: str = "ISO-8859-1", multi_line: bool = False) -> dict:
+    """Options for quoted CSV (a quote inside quotes is doubled). Every file's
+    header must list the schema's columns in its order; a file that doesn't
+    fails the read. Whole rows are parsed (no column pruning): a row's width
+    shows only then. ``multi_line`` admits line breaks inside quotes, at the price
+    that a file is read by one task: ingest such files once, to parquet."""
+    return {"header": True, "encoding": encoding, "quote": '"', "escape": '"', "multiLine": multi_line,
+            "enforceSchema": False, "columnPruning": False, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": MALFORMED}
+
+
+def raw_schema(header: list[str]) -> str:
+    return ", ".join(f"`{h}` string" for h in [*header, MALFORMED])
+
+
+def read_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
+                 multi_line: bool = False) -> DataFrame:
+    """Raw export as string columns (header row, latin-1 by default) plus ``MALFORMED``."""
+    options = csv_options(encoding, multi_line)
+    header = spark.read.options(**options).csv(path).columns
+    return spark.read.options(**options).schema(raw_schema(header)).csv(path)
 
 
 def parse_raw_ts(text: Column, date_format: str = RAW_DATE_FORMAT) -> Column:
     """Raw date text -> timestamp_ntz; NULL when it does not parse."""
-    return F.try_to_timestamp(text, F.lit(date_format)).cast("timestamp_ntz")
+    one = F.from_csv(text, "ts timestamp_ntz", {"timestampNTZFormat": date_format, "sep": "\u0001"})
+    return F.when(text.isNotNull(), one["ts"])
 
 
 def _typed(raw: Column, kind: str, date_format: str) -> Column:
@@ -60,7 +79,9 @@ def _typed(raw: Column, kind: str, date_format: str) -> Column:
 
 
 def typed_order_lines(raw: DataFrame, date_format: str = RAW_DATE_FORMAT) -> DataFrame:
-    """Select, rename and type the used columns of the raw export."""
+    """Select, rename and type the used columns of the raw export's whole rows."""
+    if MALFORMED in raw.columns:
+        raw = raw.where(F.col(MALFORMED).isNull())
     return raw.select([
         _typed(F.col(f"`{header}`"), kind, date_format).alias(name)
         for header, (name, kind) in RAW_COLUMNS.items()
@@ -68,12 +89,14 @@ def typed_order_lines(raw: DataFrame, date_format: str = RAW_DATE_FORMAT) -> Dat
 
 
 def ingest_rejects(raw: DataFrame, date_format: str = RAW_DATE_FORMAT) -> DataFrame:
-    """One row: per typed column, how many non-empty values failed to parse."""
-    checks = []
+    """One row: raw and malformed rows; per typed column, how many non-empty
+    values of the other rows failed to parse."""
+    whole = F.col(MALFORMED).isNull() if MALFORMED in raw.columns else F.lit(True)
+    checks = [F.count(F.when(~whole, 1)).alias("malformed_rows")]
     for header, (name, kind) in RAW_COLUMNS.items():
         if kind == "string":
             continue
         src = F.col(f"`{header}`")
-        bad = src.isNotNull() & (F.trim(src) != "") & _typed(src, kind, date_format).isNull()
+        bad = whole & src.isNotNull() & (F.trim(src) != "") & _typed(src, kind, date_format).isNull()
         checks.append(F.count(F.when(bad, 1)).alias(f"rejected_{name}"))
     return raw.agg(F.count(F.lit(1)).alias("raw_rows"), *checks)

@@ -12,40 +12,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared checkpoint folder the cluster names in ``spark.checkpoint.dir``.
+def work_folder(spark: SparkSession, fallback: str) -> str:
+    """Where intermediate tables go: the shared folder the cluster names in
+    ``spark.checkpoint.dir``, or ``fallback`` where that is unset. Only read,
+    never set: a session does not accept it at run time."""
+    return spark.conf.get("spark.checkpoint.dir", None) or fallback
 
-    A fallback is only set when the session has none (tests, local runs).
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
-        spark.sparkContext.setCheckpointDir(current)
-        return current
-    if fallback is None:
-        raise ValueError("spark.checkpoint.dir is not set and no fallback was given")
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder in any store that Spark reaches."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None,
-                   rebalance: bool = False) -> None:
+                   clustered: bool = False) -> None:
     """Enriched order lines -> parquet partitioned by month (overwrite).
 
-    - default: no shuffle; each task writes the months it holds (cheap when
-      the input arrives clustered by date, as order exports do);
-    - ``rebalance``: a REBALANCE hint on the month, for clusters whose
-      shuffle is sized from the input (partitions >> months, see
-      ``session.sized_conf``). AQE then splits a hot month (say a third of
-      all lines) into advisory-size chunks and coalesces small months;
+    - default: a REBALANCE hint on the month. AQE splits a hot month (say a
+      third of all lines) into advisory-size files and coalesces small months,
+      so the number of files follows the data, not tasks times months;
+    - ``clustered``: the caller states that the input arrives clustered by
+      month; no shuffle, each task writes the months it holds;
     - ``files_per_month``: explicit hash-spreading over (month, bucket), so
       each month gets at most that many files and never a single task.
     """
-    if rebalance:
-        df = df.hint("rebalance", "order_month")
-    elif files_per_month:
+    if files_per_month:
         bucket = F.pmod(F.xxhash64("line_key"), F.lit(int(files_per_month)))
         df = df.repartition("order_month", bucket)
+    elif not clustered:
+        df = df.hint("rebalance", "order_month")
     df.write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 

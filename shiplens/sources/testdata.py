@@ -78,7 +78,10 @@ SCHEMAS = {
 }
 
 
-def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+DIMENSIONS = ("customer", "part")
+
+
+def order_lines_from_tables(spark: SparkSession, sf_dir: str, dims=DIMENSIONS) -> DataFrame:
     """``order_lines`` (the raw-export schema) built from the test tables.
 
     Join order keeps the fact table's shuffles to two: orders are first
@@ -90,27 +93,30 @@ def order_lines_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     and part become sort-merge joins past the broadcast threshold), and a
     hot key on any join is split by AQE's skew-join handling.
 
-    Dimension attributes are looked up with LEFT joins against sides made
-    distinct on their key (they are primary keys; the de-duplication states
-    it to the optimizer; nation needs none, it is only reached through
-    customer and is used whenever the region is). Catalyst then removes a lookup whose columns a
-    query does not use: a KPI without product category never joins part,
-    one without region, segment or market never joins customer, saving a
-    full shuffle of the lines each. A line whose dimension row is missing
+    ``dims`` names the dimensions to look up: ``customer`` (region, market and
+    segment, with nation) and ``part`` (category). A query states what it
+    needs, so a KPI without product category never joins part and one without
+    region, segment or market never joins customer, saving a full shuffle of
+    the lines each; the attributes of a dimension left out are NULL. Lookups
+    are LEFT joins on primary keys, with nothing between the exchange and the
+    join's sort, which is what lets AQE split a hot key. A line whose dimension row is missing
     is kept with NULL attributes (unknown region -> default zone, NULL
     group keys dropped), it does not vanish.
     """
     read = lambda t: spark.read.schema(SCHEMAS[t]).parquet(f"{sf_dir}/{t}.parquet")
     lineitem, orders, customer, nation, part = (
         read(t) for t in ("lineitem", "orders", "customer", "nation", "part"))
-    part = part.dropDuplicates(["p_partkey"])
-
-    cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
-    cust = cust.dropDuplicates(["c_custkey"])
-    order_cust = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
-    lines = (lineitem.hint("merge")
-             .join(order_cust, lineitem.l_orderkey == order_cust.o_orderkey)
-             .join(part, lineitem.l_partkey == part.p_partkey, "left"))
+    if "customer" in dims:
+        cust = customer.join(nation, customer.c_nationkey == nation.n_nationkey, "left")
+        orders = orders.join(cust, orders.o_custkey == cust.c_custkey, "left")
+    else:
+        orders = orders.withColumns({"c_nationkey": F.lit(None).cast("int"), "n_name": F.lit(None).cast("string"),
+                                     "c_mktsegment": F.lit(None).cast("string")})
+    lines = lineitem.hint("merge").join(orders, lineitem.l_orderkey == orders.o_orderkey)
+    if "part" in dims:
+        lines = lines.join(part, lineitem.l_partkey == part.p_partkey, "left")
+    else:
+        lines = lines.withColumn("p_type", F.lit(None).cast("string"))
 
     nk = F.col("c_nationkey")
     mode = F.try_element_at(_literal_map(PRIORITY_MODE), F.col("o_orderpriority"))

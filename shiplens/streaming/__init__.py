@@ -6,7 +6,7 @@ be refreshed without re-reading history.
 """
 
 from shiplens.streaming.incremental import (
-    order_line_stream, start_incremental, cube_deltas, compact_cube, kpi_from_deltas,
+    order_line_stream, start_incremental, cube_rows, compact_cube, kpi_from_deltas,
 )
 
-__all__ = ["order_line_stream", "start_incremental", "cube_deltas", "compact_cube", "kpi_from_deltas"]
+__all__ = ["order_line_stream", "start_incremental", "cube_rows", "compact_cube", "kpi_from_deltas"]

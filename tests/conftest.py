@@ -29,10 +29,9 @@ LINE_DEFAULTS = dict(
 @pytest.fixture(scope="session")
 def spark():
     from shiplens.session import local_session
-    from shiplens.sources.sinks import checkpoint_dir
 
-    s = local_session("*", shuffle_partitions=8, app="shiplens-tests")
-    checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="shiplens-ckpt-"))
+    shared = {"spark.checkpoint.dir": os.environ.get("SHIPLENS_TEST_SHARED") or tempfile.mkdtemp(prefix="shiplens-shared-")}
+    s = local_session("*", shuffle_partitions=8, app="shiplens-tests", extra=shared)
     yield s
     s.stop()
 

@@ -59,8 +59,10 @@ def test_streaming_deltas_match_batch(spark, tmp_out):
         want = registry.run(name, spark, SF_SMALL)
         assert _sorted(got) == _sorted(want), name
     assert len(os.listdir(os.path.join(tmp_out, "out", "cube"))) >= 2  # one delta per batch
-    compacted = spark.read.parquet(compact_cube(spark, os.path.join(tmp_out, "out"),
-                                                os.path.join(tmp_out, "compact")))
+    compacted = compact_cube(spark, os.path.join(tmp_out, "out"))
+    assert kpi_from_deltas(spark, os.path.join(tmp_out, "out"), "kpi_otif_by_carrier").count() == 4  # not counted twice
+    again = kpi_from_deltas(spark, os.path.join(tmp_out, "out"), "kpi_cpo_region_carrier")
+    assert _sorted(again) == _sorted(registry.run("kpi_cpo_region_carrier", spark, SF_SMALL))
     q = registry.QUERIES["kpi_topline_summary"]
     got = present(q.fn(compacted, CUBE), q)
     assert _sorted(got) == _sorted(registry.run("kpi_topline_summary", spark, SF_SMALL))
@@ -84,3 +86,53 @@ def test_command_line_on_raw_csv(spark, tmp_out):
     assert got.columns[0] == "Shipping Mode"
     want = registry.run("kpi_otif_by_carrier", spark, SF_SMALL)
     assert sorted(r.orders for r in got.collect()) == sorted(r.orders for r in want.collect())
+
+
+def test_batch_runs_without_checkpoint_dir_and_leaves_nothing(tmp_out):
+    """A session of its own, without spark.checkpoint.dir: two runs, both whole,
+    and no cube left in the output or the work folder."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    code = f"""
+import os, sys
+sys.path.insert(0, {ROOT!r})
+from shiplens.session import local_session
+from shiplens.plans import batch
+s = local_session(2, 4)
+assert s.conf.get("spark.checkpoint.dir", None) is None
+for i, work in enumerate((None, {tmp_out!r} + "/work")):
+    out = {tmp_out!r} + f"/out{{i}}"
+    paths = batch.run_batch(s, out, sf_dir={SF_SMALL!r}, tables=("kpi_otif_by_carrier",), work_dir=work)
+    assert s.read.parquet(paths["kpi_otif_by_carrier"]).count() == 4
+    assert s.read.parquet(paths["line_quality"]).first().lines_without_month == 0
+    left = work or out + "/_work"
+    assert not os.path.isdir(left) or os.listdir(left) == [], os.listdir(left)
+print("whole")
+"""
+    os.makedirs(tmp_out + "/conf")
+    env = os.environ | {"SPARK_CONF_DIR": tmp_out + "/conf"}  # no site defaults
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, env=env)
+    assert "whole" in done.stdout, done.stderr[-2000:]
+
+
+def test_bad_dates_are_reported(spark, tmp_out):
+    """Three lines, two with a date in another format: the monthly table holds
+    one, and the reports say where the others went."""
+    import pytest
+
+    from tests.test_sources import _csv, _row
+
+    src = os.path.join(tmp_out, "raw.csv")
+    bad = {"order date (DateOrders)": "2016-03-13 10:00"}
+    _csv(src, [_row(), _row(**{"Order Item Id": "2", **bad}), _row(**{"Order Item Id": "3", **bad, "Order Region": "Atlantis"})])
+    paths = batch.run_batch(spark, os.path.join(tmp_out, "out"), raw_csv=src, tables=("kpi_otif_monthly",))
+    assert spark.read.parquet(paths["kpi_otif_monthly"]).first().orders == 1
+    rejects = spark.read.parquet(paths["ingest_rejects"]).first()
+    assert (rejects.raw_rows, rejects.rejected_order_ts, rejects.malformed_rows) == (3, 2, 0)
+    quality = spark.read.parquet(paths["line_quality"]).first()
+    assert (quality.kept_lines, quality.lines_without_month, quality.default_zone_lines) == (3, 2, 1)
+    with pytest.raises(ValueError, match="rejected"):
+        batch.run_batch(spark, os.path.join(tmp_out, "strict"), raw_csv=src, tables=(), max_reject_share=0.5)
