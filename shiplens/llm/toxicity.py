@@ -52,7 +52,7 @@ class Model:
     weight: dict[str, float] = field(default_factory=dict)
     other: float = -0.05  # any other token
     lam: float = 1.0
-    level: float = 0.01
+    level: float = 0.05
     curve: tuple[float, float] | None = None  # intercept and slope
 
     def token_score(self, word: str) -> float:
@@ -176,6 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, min_docs: int =
     # feature's share of them is at most its clean documents' (one pseudo-token in all besides).
     share = (c["clean"][keep].sum() + 1.0) / (tokens + 1.0)
     best = float(odds[keep].mean())
+    model.other = -max(0.05, 2 * share * best)  # clean text must drift down
     low, high = 1e-6, 50.0
     for _ in range(200):
         mid = (low + high) / 2
