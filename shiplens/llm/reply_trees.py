@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shiplens.llm.common import drop_saved, saved
+from shiplens.llm.common import drop_saved, is_empty, saved
 
 START, END = "<|im_start|>", "<|im_end|>"
 NULL_TREE = -(1 << 63)
@@ -47,24 +47,27 @@ def best_paths(nodes: DataFrame, keep: int = 1) -> DataFrame:
         "tree", "node", F.when(F.col("there"), F.col("parent")).alias("up"), F.lit(1).cast("bigint").alias("depth"),
         "score"), "tree")
     count = step.count()
-    steps = [step]
+    # Nodes whose pointer has passed the root are done; only the others are joined again.
+    steps, done, jumps = [step], step.where("up is null"), []
     for _ in range(count.bit_length() + 1):
-        if not step.where("up is not null").take(1):
+        live = step.where("up is not null")
+        if is_empty(live):
             break
-        above = step.select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
-                            F.col("depth").alias("depth2"), F.col("score").alias("score2"))
-        step = saved(step.join(above, ["tree", "up"], "left").select(
-            "tree", "node", F.col("up2").alias("up"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("score") + F.coalesce("score2", F.lit(0.0))).alias("score")), "tree")
+        jumps.append(live)
+        above = live.unionByName(done).select("tree", F.col("node").alias("up"), F.col("up").alias("up2"),
+                                              F.col("depth").alias("depth2"), F.col("score").alias("score2"))
+        step = saved(live.join(above, ["tree", "up"]).select(
+            "tree", "node", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"),
+            (F.col("score") + F.col("score2")).alias("score")), "tree")
         steps.append(step)
+        done = done.unionByName(step.where("up is null"))
     replied = nodes.where("parent is not null").select("tree", F.col("parent").alias("node"))
-    leaves = step.where("up is null").join(replied, ["tree", "node"], "left_anti")
+    leaves = done.join(replied, ["tree", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.col("score").desc(), "node"))
     chosen = leaves.withColumn("branch", rank).where(F.col("branch") <= keep)
     rows = chosen.select("tree", "branch", "node", F.col("depth").alias("left"))
-    for jump in reversed(steps[:-1]):
-        up = jump.where("up is not null").select("tree", "node", F.col("up"), F.col("depth").alias("steps"))
+    for jump in reversed(jumps):
+        up = jump.select("tree", "node", F.col("up"), F.col("depth").alias("steps"))
         two = F.explode(F.array(
             F.struct(F.col("node"), F.col("left")),
             F.struct(F.col("up").alias("node"), (F.col("left") - F.col("steps")).alias("left"))))
