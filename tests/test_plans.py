@@ -103,10 +103,12 @@ def test_hot_dimension_keys_are_split(spark, tmp_out):
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_fact_table_scanned_once(spark, name):
     """No query re-reads the lines in a second branch (total rows, stacked
-    blocks and shares all come from one lineage)."""
+    blocks and shares all come from one lineage); a query that passes through
+    a sink answers from what it stored."""
     plan = _plan(registry.run(name, spark, SF_SMALL))
     scans = [l for l in plan.splitlines() if "FileScan parquet" in l and "lineitem.parquet" in l]
-    assert len(scans) == 1, name
+    build = registry.QUERIES[name].build
+    assert len(scans) == (0 if build and build.__module__.endswith("roundtrips") else 1), name
 
 
 def test_plan_shape_once_tables_are_large(spark):
