@@ -201,6 +201,7 @@ def wb_topline(df, g=LINES, sp=DEFAULT_SCENARIO):
     s = _summary_rounded(df, g, sp)
     n = F.col("total_orders").cast("double")
     derived_count = lambda r: F.bround(F.col(r) * n, 0)
+    # The sheet's metric labels, here and in ``derived``.
     inputs = {
         "Total Orders Analyzed": n,
         "OTIF Orders (derived)": derived_count("otif_rate"),
@@ -238,6 +239,7 @@ def wb_topline(df, g=LINES, sp=DEFAULT_SCENARIO):
     return full.select(F.inline(rows))
 
 
+# Fixed value: label of the carrier sheet's total row.
 TOTAL_LABEL = "TOTAL / NETWORK AVG"
 
 
