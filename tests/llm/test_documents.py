@@ -194,10 +194,30 @@ def test_close_pairs_are_all_found_once():
         sim = np.append(sim, np.uint64(x))
     ident = np.arange(len(sim))
     key = np.concatenate([(i << 16) | ((sim >> np.uint64(16 * i)) & np.uint64(0xFFFF)).astype(np.int64) for i in range(4)])
-    a, b = fuzzy_lines.close_pairs(key, np.tile(sim, 4), np.tile(ident, 4))
+    a, b = fuzzy_lines.close_pairs(key, np.tile(sim, 4), np.tile(ident, 4), np.tile(ident, 4))
     got = sorted((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist()))
     want = [(i, j) for i in range(len(sim)) for j in range(i + 1, len(sim)) if (int(sim[i]) ^ int(sim[j])).bit_count() <= 3]
     assert got == want and len(set(got)) == len(got)
+    comp = ident % 3  # only pairs across components; then at most one per row and sub-bucket
+    a, b = fuzzy_lines.close_pairs(key, np.tile(sim, 4), np.tile(ident, 4), np.tile(comp, 4))
+    assert sorted((min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())) == [(i, j) for i, j in want if comp[i] != comp[j]]
+    a, b = fuzzy_lines.close_pairs(key, np.tile(sim, 4), np.tile(ident, 4), np.tile(ident, 4), True)
+    first = {(min(x, y), max(x, y)) for x, y in zip(a.tolist(), b.tolist())}
+    assert first <= set(want) and {x for p in first for x in p} <= {x for p in want for x in p}
+
+
+def test_group_of_near_lines_at_every_distance(spark):
+    """Variants of one line up to beyond the threshold from each other."""
+    rnd = random.Random(9)
+    base = [f"term{i:03d}" for i in range(60)]
+    rows = []
+    for d in range(60):
+        w = list(base)
+        for i in rnd.sample(range(60), rnd.randint(0, 5)):
+            w[i] = w[i][:-1] + rnd.choice("xyz")
+        rows.append((d, " ".join(w)))
+    got = {r.doc_id: list(r.removed) for r in fuzzy_lines.removed_lines(_docs(spark, rows)).collect()}
+    assert got == _brute_lines(rows)
 
 
 # --------------------------------------------------------------- pipeline
