@@ -8,10 +8,11 @@ gives about e. A term that exceeds the disclosure thresholds (information,
 share, and number of distinct lines in support, so copies of one line count
 once) is generalised wherever it occurs.
 
-Two passes over the texts. The first finds the identifiers and the terms around
-them. The second counts and locates terms: a bit map of fixed size, holding the
-hashes of terms with enough support, drops nearly all words inside the tasks;
-exact joins decide the rest.
+Passes over the texts: the first finds the identifiers and the terms around
+them; the second counts, per batch of texts, the lines of terms with enough
+support; the third locates the terms that exceed the thresholds. A bit map of
+fixed size drops other words inside the tasks; exact joins decide the rest.
+Later passes run only where the one before leaves terms.
 
 Edge cases: null text counts as empty (no spans); null and repeated ``doc_id``
 rows each give a row; texts are processed whole, in linear time; an empty table
@@ -111,6 +112,31 @@ def _contexts(text: str, spans: list, width: int):
     return out
 
 
+def _bit_map(terms: DataFrame, bits: int) -> bytes:
+    """A map of 2**bits bits with a bit per term's slot: as large for any number of terms."""
+    slots = terms.select(F.shiftrightunsigned("term", 64 - bits).cast("int").alias("slot")).distinct()
+    out = np.zeros(1 << bits, dtype=bool)
+    out[[r["slot"] for r in slots.toLocalIterator()]] = True  # at most 2**bits slots
+    return np.packbits(out).tobytes()
+
+
+def _hits(texts, packed: bytes, bits: int):
+    """Occurrences of terms whose slot is set, some texts at a time: the texts'
+    bytes and offsets, and per occurrence its text, start, end and hash; last, the
+    ends of all lines. Terms are compared in lower case."""
+    wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
+    data = [(low if len(low := t.lower()) == len(t) else t).encode("utf-8", "surrogatepass") for t in texts]
+    for i, j in chunks_by_bytes(data):
+        own = data[i:j]
+        ends = np.cumsum([len(d) + 1 for d in own])
+        buf = np.frombuffer(b"\n".join(own) + b"\n", np.uint8)
+        s, e, h = word_hashes(buf, _NO_TERM)
+        h = mix64(h)
+        hit = np.flatnonzero(wanted[(h >> np.uint64(64 - bits)).astype(np.int64)])
+        off = ends - [len(d) + 1 for d in own]
+        yield own, off, np.searchsorted(ends, s[hit], side="right"), s[hit], e[hit], h[hit].view(np.int64), np.flatnonzero(buf == 10)
+
+
 def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float = 0.5, min_lines: int = 5,
                        width: int = 8, map_bits: int = 20) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): ``base`` and ``spans``, sorted arrays
@@ -139,48 +165,47 @@ def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float
     strong = saved(pairs.where(F.col("lines") >= min_lines).join(entity_lines, "entity"), "pii_terms")
 
     spans = found.withColumn("spans", F.col("base"))
-    if not is_empty(strong):
-        slots = strong.select(F.shiftrightunsigned("term", 64 - map_bits).cast("int").alias("slot")).distinct()
-        bits = np.zeros(1 << map_bits, dtype=bool)
-        bits[[r["slot"] for r in slots.toLocalIterator()]] = True  # at most 2**map_bits slots
-        packed = np.packbits(bits).tobytes()
-
-        def second(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
-            for batch in batches:
-                texts = [t.lower() if len(t.lower()) == len(t) else t for t in batch["text"]]
-                data = [t.encode("utf-8", "surrogatepass") for t in texts]
-                keys = batch["row_key"].to_numpy()
-                for i, j in chunks_by_bytes(data):
-                    ends = np.cumsum([len(d) + 1 for d in data[i:j]])
-                    s, e, h = word_hashes(np.frombuffer(b"\n".join(data[i:j]) + b"\n", np.uint8), _NO_TERM)
-                    h = mix64(h)
-                    hit = np.flatnonzero(wanted[(h >> np.uint64(64 - map_bits)).astype(np.int64)])
-                    doc = np.searchsorted(ends, s[hit], side="right")
-                    rows = []
-                    for d, a, b, term in zip(doc, s[hit], e[hit], h[hit].view(np.int64)):
-                        here, off = data[i + d], int(ends[d]) - len(data[i + d]) - 1
-                        start = len(here[:a - off].decode("utf-8", "surrogatepass"))
-                        size = len(here[a - off:b - off].decode("utf-8", "surrogatepass"))
-                        line = here.count(b"\n", 0, a - off)
-                        rows.append((keys[i + d], int(term), start, start + size, line))
-                    if rows:
-                        yield pd.DataFrame(rows, columns=["row_key", "term", "start", "end", "line"])
-
-        at = saved(docs.mapInPandas(second, "row_key bigint, term bigint, start int, end int, line int"), "pii_at")
-        often = at.select("term", "row_key", "line").distinct().groupBy("term").agg(F.count("*").alias("term_lines"))
-        total_lines = max(1, found.agg(F.sum("lines")).first()[0])
-        share = F.least(F.col("seen") / F.col("term_lines"), F.lit(1.0))
-        telling = (strong.join(often, "term")
-                   .where((share >= min_share)
-                          & (F.log2(share * F.lit(float(total_lines)) / F.col("entity_lines")) >= min_bits))
-                   .select("term").distinct())
-        extra = (at.join(telling, "term").groupBy("row_key").agg(F.collect_set(F.struct(
-            "start", F.lit(4).alias("kind"), "end")).alias("extra")))
-        overlaps = F.expr("filter(extra, x -> not exists(base, y -> x.start < y.end and y.start < x.end))")
-        spans = (found.join(extra, "row_key", "left")
-                 .withColumn("extra", F.coalesce(overlaps, F.array().cast(span)))
-                 .withColumn("spans", F.array_sort(F.concat("base", "extra"))))
+    if is_empty(strong):
+        return spans.select("doc_id", "base", "spans")
+
+    def count(batches: Iterator[pd.DataFrame], packed: bytes) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for data, off, doc, start, _, term, text_ends in _hits(batch["text"], packed, map_bits):
+                line = np.searchsorted(text_ends, start)  # a number per line of the joined texts
+                seen = np.unique(np.column_stack((line, term)), axis=0)
+                terms, lines = np.unique(seen[:, 1], return_counts=True)
+                yield pd.DataFrame({"term": terms, "term_lines": lines})
+
+    packed = _bit_map(strong, map_bits)
+    often = (docs.mapInPandas(lambda x: count(x, packed), "term bigint, term_lines bigint")
+             .groupBy("term").agg(F.sum("term_lines").alias("term_lines")))
+    total_lines = max(1, found.agg(F.sum("lines")).first()[0])
+    share = F.least(F.col("seen") / F.col("term_lines"), F.lit(1.0))
+    telling = saved(strong.join(often, "term").where(
+        (share >= min_share) & (F.log2(share * F.lit(float(total_lines)) / F.col("entity_lines")) >= min_bits))
+        .select("term").distinct(), "pii_telling")
+    if is_empty(telling):
+        return spans.select("doc_id", "base", "spans")
+
+    def locate(batches: Iterator[pd.DataFrame], packed: bytes) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, first = batch["row_key"].to_numpy(), 0
+            for data, off, doc, start, end, term, _ in _hits(batch["text"], packed, map_bits):
+                rows = []
+                for d, x, y, t in zip(doc, start, end, term):
+                    here, at = data[d], off[d]
+                    begin = len(here[:x - at].decode("utf-8", "surrogatepass"))
+                    rows.append((keys[first + d], t, begin, begin + len(here[x - at:y - at].decode("utf-8", "surrogatepass"))))
+                first += len(data)
+                yield pd.DataFrame(rows, columns=["row_key", "term", "start", "end"])
+
+    packed_telling = _bit_map(telling, map_bits)
+    at = docs.mapInPandas(lambda x: locate(x, packed_telling), "row_key bigint, term bigint, start int, end int")
+    extra = (at.join(telling, "term").groupBy("row_key").agg(F.collect_set(F.struct(
+        "start", F.lit(4).alias("kind"), "end")).alias("extra")))
+    free = F.expr("filter(extra, x -> not exists(base, y -> x.start < y.end and y.start < x.end))")
+    spans = (found.join(extra, "row_key", "left").withColumn("extra", F.coalesce(free, F.array().cast(span)))
+             .withColumn("spans", F.array_sort(F.concat("base", "extra"))))
     return spans.select("doc_id", "base", "spans")
 
 
