@@ -12,9 +12,10 @@ the threshold are confirmed on the full sets.
 No bucket emits its pairs. Links only have to connect components, so a bucket
 first compares each member with one other: with its smallest member, then, where
 members are not yet connected, with one drawn by hash. What is still apart in a
-bucket after that is compared exactly: the bucket is dealt into blocks, a task
-compares the registers of two blocks, and only pairs that pass the estimate and
-lie in different components go on to the sets.
+bucket after that is compared in full: the bucket is dealt into blocks, a task
+compares the registers of two blocks, each pair at the first band it shares, and
+passes on the members that have a partner; the sets of those are then compared
+block by block, and one link between any two components comes out.
 
 Chance of missing a link at the threshold: (1 - 0.75**4)**32 or 5e-6 per pair.
 
@@ -186,27 +187,125 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, threshold: float, width: int)
             .mapInPandas(run, "a bigint, b bigint"))
 
 
-def _blockwise(rows: DataFrame, threshold: float) -> DataFrame:
-    """Pairs across components within buckets: rows (key, rep, comp, regs,
-    n_shingles, size of the bucket). Each task compares two blocks."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+_GROUP = ["key", "i", "j"]
+_BLOCKED = "key bigint, i int, j int, band int, rep bigint, comp bigint, own int"
+
+
+def _whole_groups(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``_GROUP`` as frames of whole groups, of about ``rows`` rows."""
+    held: list[pd.DataFrame] = []
+    for b in batches:
+        held.append(b)
+        if sum(map(len, held)) < rows:
+            continue
+        all_rows = pd.concat(held, ignore_index=True)
+        last = (all_rows[_GROUP] == all_rows[_GROUP].iloc[-1]).all(axis=1).to_numpy()
+        cut = int(last.argmax())
+        if cut:
+            yield all_rows.iloc[:cut]
+        held = [all_rows.iloc[cut:]]
+    if held and sum(map(len, held)):
+        yield pd.concat(held, ignore_index=True)
+
+
+def _groups_of(rows: pd.DataFrame) -> np.ndarray:
+    """A number per row that grows with each group of sorted rows."""
+    g = rows[_GROUP].to_numpy()
+    return np.concatenate(([0], np.cumsum((g[1:] != g[:-1]).any(axis=1))))
+
+
+def _across(rows: pd.DataFrame, limit: int = 20_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the pairs of each group that lie in different components (and,
+    between two blocks, in different blocks), some at a time."""
+    group, comp = _groups_of(rows), rows["comp"].to_numpy()
+    own, two = rows["own"].to_numpy(), (rows["i"] != rows["j"]).to_numpy()
+    at, step, x, y, size = np.arange(len(rows)), 0, [], [], 0
+    while len(at):
+        step += 1
+        at = at[at + step < len(group)]
+        at = at[group[at] == group[at + step]]
+        to = at + step
+        take = (comp[at] != comp[to]) & (~two[at] | (own[at] != own[to]))
+        x.append(at[take])
+        y.append(to[take])
+        size += int(take.sum())
+        if size >= limit or not len(at):
+            a, b = np.concatenate(x), np.concatenate(y)
+            for k in range(0, len(a), limit):
+                yield a[k:k + limit], b[k:k + limit]
+            x, y, size = [], [], 0
+
+
+def _with_partners(rows: DataFrame, threshold: float) -> DataFrame:
+    """The rows of blocked buckets that have a partner of another component in
+    their group which passes the estimate, at the first band the two share. No
+    pair leaves the task: a group gives at most its rows."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _whole_groups(batches, 20_000):
+            regs = np.frombuffer(b"".join(part["regs"]), np.uint16).reshape(-1, REGISTERS)
+            band, n = part["band"].to_numpy(), part["n_shingles"].to_numpy()
+            found = np.zeros(len(part), dtype=bool)
+            for x, y in _across(part):
+                same = (regs[x] == regs[y]).reshape(-1, BANDS, ROWS).all(axis=2)
+                keep = same.argmax(axis=1) == band[x]
+                x, y = x[keep], y[keep]
+                if len(x):
+                    pass_ = may_link(regs[x], regs[y], n[x], n[y], threshold)
+                    found[x[pass_]] = True
+                    found[y[pass_]] = True
+            yield part.loc[found, ["key", "i", "j", "band", "rep", "comp", "own"]]
+
+    return rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP).mapInPandas(run, _BLOCKED)
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by a product of 0/1 matrices over the
+    shingles that more than one set holds."""
+    flat = np.concatenate(sets)
+    who = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    ids, at, times = np.unique(flat, return_inverse=True, return_counts=True)
+    shared = np.cumsum(times > 1) - 1
+    live = times[at] > 1
+    who, col = who[live], shared[at[live]]
+    out = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    order = np.argsort(col, kind="stable")
+    who, col = who[order], col[order]
+    for lo in range(0, int(col[-1]) + 1 if len(col) else 0, 4096):
+        a, b = np.searchsorted(col, (lo, lo + 4096))
+        m = np.zeros((len(sets), 4096), dtype=np.float32)
+        m[who[a:b], col[a:b] - lo] = 1
+        out += m @ m.T
+    return out
+
+
+def _confirmed_blocks(rows: DataFrame, texts: DataFrame, threshold: float, width: int) -> DataFrame:
+    """Links (a, b) across components of each group, confirmed on the full sets.
+    Of links between the same two components one is enough."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in _whole_groups(batches, 1):
+            found = []
+            for _, g in part.groupby(_groups_of(part)):
+                sets = shingle_sets(lower_ascii(g["text"]), width)
+                size = np.array([len(x) for x in sets])
+                both = _common(sets)
+                linked = 100 * both >= round(100 * threshold) * (size[:, None] + size[None, :] - both)
+                comp, rep = g["comp"].to_numpy(), g["rep"].to_numpy()
+                x, y = np.nonzero(np.triu(linked & (comp[:, None] != comp[None, :]), 1))
+                pairs = {(min(comp[i], comp[j]), max(comp[i], comp[j])): (rep[i], rep[j]) for i, j in zip(x, y)}
+                found += pairs.values()
+            yield pd.DataFrame(found, columns=["a", "b"])
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        regs = np.frombuffer(b"".join(g["regs"]), np.uint16).reshape(-1, REGISTERS)
-        n, rep, comp, own = (g[c].to_numpy() for c in ("n_shingles", "rep", "comp", "own"))
-        i, j = int(g["i"].iloc[0]), int(g["j"].iloc[0])
-        found = []
-        for x in np.flatnonzero(own == i):
-            y = np.flatnonzero((own == j) & (comp != comp[x]) & ((rep > rep[x]) if i == j else True))
-            if len(y):
-                y = y[may_link(np.broadcast_to(regs[x], (len(y), REGISTERS)), regs[y], np.full(len(y), n[x]), n[y], threshold)]
-                found += [(max(rep[x], r), min(rep[x], r)) for r in rep[y]]
-        return pd.DataFrame(found, columns=["a", "b"])
+    return (rows.join(texts, "rep").repartition(*_GROUP).sortWithinPartitions(*_GROUP)
+            .select("key", "i", "j", "rep", "comp", "text").mapInPandas(run, "a bigint, b bigint"))
 
-    return rows.drop("members", "blocks", "other").groupBy("key", "i", "j").applyInPandas(run, "a bigint, b bigint")
+
+def _blocked(rows: DataFrame) -> DataFrame:
+    """Rows (key, members, rep, ...) of buckets dealt into blocks, once for each
+    pair of blocks (i, j) that their own block is part of."""
+    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("members", "blocks", "other")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
@@ -252,9 +351,10 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
         star = (rows.join(comp_of_drawn, ["key", "drawn"]).where("comp <> drawn_comp")
                 .select(F.greatest("rep", "drawn").alias("a"), F.least("rep", "drawn").alias("b")).distinct())
         links = compare(_passing(star, reps, threshold), links)
-        rows = apart(connected_components(links)).select("key", "members", "rep", "comp")
-        rest = _blockwise(rows.join(reps, "rep"), threshold).distinct()
-        links = compare(rest, links)
+        rows = apart(connected_components(links)).select("key", "band", "members", "rep", "comp")
+        rows = saved(_with_partners(_blocked(rows.join(reps, "rep")), threshold), "partners")
+        found = _confirmed_blocks(rows, texts, threshold, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
+        links = saved(found.unionByName(links), "links")
     edges = copies if links is None else copies.unionByName(links)
     comp = connected_components(edges)
     out = sk.select("doc_id", "n_shingles").join(comp, sk["doc_id"] == comp["node"], "left")
