@@ -254,3 +254,79 @@ def test_pipeline_is_registered_and_optional():
     assert [n for n in E.queries() if n.startswith("op")] == list(QUERIES)
     with pytest.raises(KeyError):
         E.oracle_sql()["pipeline"]
+
+
+# ------------------------------------------- lines by edit similarity alone
+
+def _near_by_edits(a, b, similarity=0.9):
+    """Edit similarity by bit-parallel columns (Python integers as bit vectors)."""
+    most = int(max(len(a), len(b)) * (1 - similarity) + 1e-9)
+    if abs(len(a) - len(b)) > most:
+        return False
+    where = defaultdict(int)
+    for i, c in enumerate(a):
+        where[c] |= 1 << i
+    full, top, up, down, score = (1 << len(a)) - 1, 1 << len(a) - 1, (1 << len(a)) - 1, 0, len(a)
+    for j, c in enumerate(b):
+        eq = where.get(c, 0)
+        x, y = eq | down, (((eq & up) + up) ^ up) | eq
+        plus, minus = down | ~(y | up) & full, up & y
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
+        up, down = minus | ~(x | plus) & full, plus & x
+        if score - (len(b) - j - 1) > most:
+            return False
+    return score <= most
+
+
+def _linked_by_edits(rows, min_words=5):
+    """Removed lines per document, of the lines of enough words, by edit similarity alone."""
+    occ = []
+    for d, text in rows:
+        for n, line in enumerate((text or "").encode().lower().split(b"\n")):
+            words = re.findall(rb"[a-z0-9\x80-\xff]+", line)
+            if len(words) >= min_words:
+                occ.append((d, n, b" ".join(words).decode()))
+    lines, groups = sorted({x for _, _, x in occ}, key=len), Groups()
+    bags = np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) & 63, minlength=64) for x in lines])
+    sizes = np.array([len(x) for x in lines])
+    for i, a in enumerate(lines):
+        later = np.flatnonzero((sizes[i + 1:] * 0.9 <= sizes[i] + 1)) + i + 1
+        # One edit changes one character, of at most four bytes, for another.
+        for j in later[np.abs(bags[later] - bags[i]).sum(axis=1) <= 8 * (0.1 * sizes[later] + 1)]:
+            if _near_by_edits(a, lines[j]):
+                groups.link(a, lines[j])
+    first, gone = {}, defaultdict(set)
+    for d, n, norm in sorted(occ):
+        if first.setdefault(groups.root(norm), (d, n)) != (d, n):
+            gone[d].add(n)
+    return {d: sorted(x) for d, x in gone.items()}
+
+
+def _edited(rnd, line, share):
+    out = list(line)
+    for i in sorted(rnd.sample(range(len(line)), int(len(line) * share + 1e-9)), reverse=True):
+        out[i:i + 1] = rnd.choice(([rnd.choice("xyz")], [], [out[i], rnd.choice("xyz")]))
+    return "".join(out)
+
+
+def test_near_lines_do_not_hang_on_a_word_gate(spark):
+    """Single-letter edits all over a line leave few of its words whole, and
+    still count: every pair within the edit similarity is linked."""
+    rnd, rows = random.Random(7), []
+    for d in range(0, 240, 2):
+        size = (6, 9, 14, 30, 80)[d // 2 % 5]
+        line = " ".join("".join(rnd.choices("abcdefghijklmnopqrstuvw", k=rnd.randint(3, 8))) for _ in range(size))
+        rows += [(d, line), (d + 1, _edited(rnd, line, 0.07))]
+    want = _linked_by_edits(rows)
+    assert len(want) > 110
+    got = {r.doc_id: list(r.removed) for r in fuzzy_lines.removed_lines(_docs(spark, rows)).collect()}
+    assert set(got) <= set(want) and len(got) >= 0.98 * len(want)
+
+
+def test_near_lines_of_the_whole_table_by_edits_alone(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
+    want = _linked_by_edits([(d.doc_id, d.text) for d in docs])
+    got = {r.doc_id: list(r.removed_lines) for r in QUERIES["op7_fuzzy_lines"](spark, SF).collect() if r.n_removed}
+    missing = sum(len(set(x) - set(got.get(d, []))) for d, x in want.items())
+    assert missing <= 0.01 * sum(map(len, want.values()))
