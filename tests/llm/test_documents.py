@@ -285,9 +285,9 @@ def _linked_by_edits(rows, min_words=5):
     for d, text in rows:
         for n, line in enumerate((text or "").encode().lower().split(b"\n")):
             words = re.findall(rb"[a-z0-9\x80-\xff]+", line)
-            if len(words) >= min_words:
+            if words:
                 occ.append((d, n, b" ".join(words).decode()))
-    lines, groups = sorted({x for _, _, x in occ}, key=len), Groups()
+    lines, groups = sorted({x for _, _, x in occ if x.count(" ") >= min_words - 1}, key=len), Groups()
     bags = np.array([np.bincount(np.frombuffer(x.encode(), np.uint8) & 63, minlength=64) for x in lines])
     sizes = np.array([len(x) for x in lines])
     for i, a in enumerate(lines):
@@ -330,3 +330,13 @@ def test_near_lines_of_the_whole_table_by_edits_alone(spark):
     got = {r.doc_id: list(r.removed_lines) for r in QUERIES["op7_fuzzy_lines"](spark, SF).collect() if r.n_removed}
     missing = sum(len(set(x) - set(got.get(d, []))) for d, x in want.items())
     assert missing <= 0.01 * sum(map(len, want.values()))
+
+
+def test_copies_of_short_unspaced_and_wordless_lines(spark):
+    han = "本网站所有内容版权归原作者所有未经许可不得转载或用于商业用途谢谢合作请勿复制"
+    thai = "สงวนลิขสิทธิ์ห้ามคัดลอกเนื้อหาโดยไม่ได้รับอนุญาตจากเจ้าของเว็บไซต์"
+    rows = [(1, f"All rights reserved\n\n{han}\n----\nchapter 10\n{thai}"),
+            (2, f"one\n all rights reserved.\n \n{han}\n ---- \nchapter 11\n{thai}"),
+            (3, f"====\n{han.replace('谢谢', '多谢')}\n\n{thai[:-2]}\n本网站"), (4, "本网站\n本网络")]
+    got = {r.doc_id: list(r.removed) for r in fuzzy_lines.removed_lines(_docs(spark, rows)).collect()}
+    assert got == {2: [1, 3, 4, 6], 3: [1, 3], 4: [0]}
