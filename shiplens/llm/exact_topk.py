@@ -16,7 +16,7 @@ of fixed size; every vector is indexed.
 Edge cases: rows whose id or vector is null, whose vector is empty or holds a
 null or non-finite component take no part; a shorter vector counts as filled up
 with zeros; rows with a query's id are not its candidates, and a repeated query
-is answered once; fewer than k candidates are all returned; an empty table gives
+is answered once, of different vectors for that with the smallest bytes; fewer than k candidates are all returned; an empty table gives
 no rows; other columns are ignored.
 """
 
@@ -106,14 +106,18 @@ def top_k(rows: DataFrame, is_query, k: int = 5, pivots: int = 16, rings: int =
 
     keyed = saved(rows.withColumn("is_query", is_query).mapInPandas(
         key, "vec_id bigint, is_query boolean, no bigint, pivot int, ring int, dist double, v binary"), "pivot_index")
+    # One row per query id asks, whatever blocks its rows come to lie in.
+    asking = keyed.where("is_query")
+    one = asking.groupBy("vec_id").agg(F.min(F.struct("v", "no")).alias("one")).select("one.no", F.lit(True).alias("one"))
+    asking = asking.join(one, "no", "left").withColumn("is_query", F.col("one").isNotNull()).select(*keyed.columns)
+    keyed = keyed.where("not coalesce(is_query, false)").unionByName(asking)
     sizes = keyed.groupBy("pivot", "ring").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     dealt = keyed.join(sizes, ["pivot", "ring"]).withColumn("part", F.pmod("no", F.col("parts")))
 
     def pack(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dist")
         ids, dist, vecs = g["vec_id"].to_numpy(), g["dist"].to_numpy(), unpacked(b"".join(g["v"]), dim)
-        at = np.flatnonzero(g["is_query"])
-        at = at[np.unique(ids[at], return_index=True)[1]]
+        at = np.flatnonzero(g["is_query"].fillna(False))
         q, floors = vecs[at], np.full(len(at), -np.inf)
         for i, row in enumerate(_scores(q, vecs)):
             own = np.sort(row[ids != ids[at[i]]])

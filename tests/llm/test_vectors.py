@@ -110,3 +110,19 @@ def test_permutation_edges(spark):
     x = np.array([[1, 2], [1, 2], [0.5, -1], [3, 0], [1, 2]])
     assert got == _truth(ids, x, [0, 50, 100], 20)
     assert permutation_index.nearest(_table(spark, []), F.lit(True)).collect() == []
+
+
+def test_exact_topk_answers_a_repeated_query_once(spark, monkeypatch):
+    """Rows of one query id in different blocks: equal ones, dealt apart, and
+    different ones, of which one is taken."""
+    monkeypatch.setattr(exact_topk, "BLOCK", 8)
+    rng = np.random.default_rng(12)
+    x = rng.integers(-9, 10, (120, 6)).astype(float)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(i, x[i].tolist()) for i in (0, 10, 20, 30) for _ in range(5)]
+    rows += [(50, (-x[50]).tolist())]
+    df = _table(spark, rows).repartition(6)
+    got = _got(exact_topk.top_k(exact_topk.whole_numbers(df), F.col("vec_id") % 10 == 0, k=5, pivots=4, rings=1))
+    ids, all_x = [i for i, _ in rows], np.floor(256 * np.array([v for _, v in rows]))
+    want = _truth(ids, all_x, [i for i in ids if i % 10 == 0 and i != 50], 5)
+    either = [_truth([50] + ids, np.vstack([v, all_x]), [50], 5)[50] for v in (all_x[50], all_x[-1])]
+    assert got.pop(50) in either and got == want
