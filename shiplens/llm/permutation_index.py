@@ -53,7 +53,7 @@ def footrule(files: np.ndarray, own: np.ndarray) -> np.ndarray:
     return apart.sum(axis=0, dtype=np.int32)
 
 
-def nearest(table: DataFrame, is_query, k: int = 20, pivots: int = 160, rerank: float = 0.06) -> DataFrame:
+def nearest(table: DataFrame, is_query, k: int = 20, pivots: int = 256, rerank: float = 0.06) -> DataFrame:
     """Per query the ``k`` rows of largest inner product found. ``table``:
     (vec_id, embedding); ``is_query``: a condition on vec_id; ``rerank``: the
     share of each segment whose exact inner product is taken (at least 20 k)."""

@@ -126,3 +126,19 @@ def test_exact_topk_answers_a_repeated_query_once(spark, monkeypatch):
     want = _truth(ids, all_x, [i for i in ids if i % 10 == 0 and i != 50], 5)
     either = [_truth([50] + ids, np.vstack([v, all_x]), [50], 5)[50] for v in (all_x[50], all_x[-1])]
     assert got.pop(50) in either and got == want
+
+
+def test_permutation_index_recall_of_a_large_segment(spark):
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(8192, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    want = _truth(list(range(8192)), x, range(0, 8192, 100), 20)
+
+    def recall(**options):
+        got = _got(permutation_index.nearest(df, F.col("vec_id") % 100 == 0, **options))
+        return np.mean([len({i for _, i in want[q]} & {i for _, i in got[q]}) / 20 for q in want])
+
+    chosen, fewer = recall(), recall(pivots=160)
+    print("recall", chosen, fewer)
+    assert chosen > fewer
