@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shiplens.llm import (exact_topk, fuzzy_lines, mixing, packing, permutation_index, reply_trees, sanitize,
-                          setsketch, toxicity, wavelet)
+from shiplens.llm import (exact_topk, fuzzy_lines, infill, mixing, packing, permutation_index, reply_trees, sanitize,
+                          setsketch, spelling, suffix_repeats, toxicity, wavelet)
 from shiplens.llm.common import new_table_path, saved
 
 
@@ -64,6 +64,19 @@ def op10_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitize.digest(sanitize.find_personal_data(_table(spark, sf_dir, "documents")))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op13_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_packing, op2_exact_topk, op3_toxicity, op4_reply_trees, op5_wavelet, op6_setsketch,
-    op7_fuzzy_lines, op8_permutation_index, op9_mixing, op10_sanitize)}
+    op7_fuzzy_lines, op8_permutation_index, op9_mixing, op10_sanitize, op11_infill, op12_spelling,
+    op13_suffix_repeats)}

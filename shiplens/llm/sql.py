@@ -1,3 +1,98 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLE_SQL: dict[str, str] = {}
+from __future__ import annotations
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _hex(column: str, place: int) -> str:
+    """The unsigned number in eight hex digits from ``place``."""
+    digits = f"string_split(substr({column}, {place}, 8), '')"
+    return f"list_reduce(list_transform({digits}, lambda d: instr('0123456789abcdef', d) - 1), lambda a, b: a * 16 + b)"
+
+
+OP11 = rf"""
+WITH units AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*{_WORD}|[\x20\x09-\x0D]+') AS u,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT *, CAST(len(u) AS BIGINT) AS n, {_hex('h', 1)} AS h1, {_hex('h', 9)} AS h2,
+         {_hex('h', 17)} AS h3, {_hex('h', 25)} AS h4 FROM units),
+places AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+                OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (
+  SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m,
+         array_to_string(u[b + 1:n], '') AS s FROM places),
+outputs AS (
+  SELECT *, CASE form WHEN 'plain' THEN text WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m
+                 ELSE '<P>' || p || '<S>' || s || '<M>' || m END AS output FROM parts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+       sha256(output) AS output_sha256, sha256(p || m || s) AS restored_sha256
+FROM outputs
+"""
+
+#: Near words here share what is left after one deletion; the CRC is the public table-driven one.
+OP12 = r"""
+WITH RECURSIVE bits AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS UBIGINT)], list_transform(range(8), lambda x: CAST(0 AS UBIGINT))),
+         lambda c, x: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS UBIGINT), c >> 1) ELSE c >> 1 END)) AS t),
+runs AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS name, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run
+  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run FROM documents WHERE text IS NOT NULL)),
+counted AS (SELECT name, run, count(*) AS k FROM runs GROUP BY ALL),
+hashed AS (
+  SELECT run, k, xor(CAST(4294967295 AS UBIGINT), list_reduce(
+           list_concat([CAST(4294967295 AS UBIGINT)], list_transform(range(CAST(length(hex(encode(name || run))) / 2 AS BIGINT)), lambda i:
+             CAST(instr('0123456789ABCDEF', substr(hex(encode(name || run)), CAST(2 * i + 1 AS BIGINT), 1)) * 16 - 17
+                  + instr('0123456789ABCDEF', substr(hex(encode(name || run)), CAST(2 * i + 2 AS BIGINT), 1)) AS UBIGINT))),
+           lambda c, b: xor(t[CAST(xor(c, b) & 255 AS BIGINT) + 1], c >> 8))) AS h
+  FROM counted, bits),
+altered AS (
+  SELECT CASE WHEN h % 199 <> 0 THEN run
+              ELSE substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) END AS word, k FROM hashed),
+words AS (
+  SELECT word, CAST(sum(k) AS BIGINT) AS n FROM altered GROUP BY word HAVING length(word) >= 6 AND sum(k) >= 5),
+cuts AS (
+  SELECT word, n, length(word) AS size, p, substr(word, 1, p - 1) || substr(word, p + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, CAST(length(word) AS BIGINT) + 1)) AS p FROM words)),
+pairs AS (
+  SELECT a.word AS word, a.n AS n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.p = b.p AND a.word <> b.word
+  UNION SELECT c.word, c.n, w.word, w.n FROM cuts c JOIN words w ON c.rest = w.word
+  UNION SELECT w.word, w.n, c.word, c.n FROM cuts c JOIN words w ON c.rest = w.word),
+best AS (
+  SELECT word, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place,
+         count(*) OVER (PARTITION BY word) AS n_near FROM pairs),
+forms AS (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * words.n THEN near END AS form,
+         CASE WHEN near_n >= 5 * words.n THEN near_n END AS form_n
+  FROM words LEFT JOIN best ON words.word = best.word AND place = 1),
+chain AS (
+  SELECT word, word AS root, 0 AS step FROM forms
+  UNION ALL SELECT chain.word, forms.form, step + 1 FROM chain JOIN forms ON chain.root = forms.word WHERE forms.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM chain GROUP BY word)
+SELECT forms.word, form, root, n, CAST(n_near AS BIGINT) AS n_near, form_n FROM forms JOIN roots ON forms.word = roots.word
+"""
+
+#: Windows of 400 bytes by their digest, written as hex digits, and the bytes they cover.
+OP13 = """
+WITH texts AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+parts AS (SELECT r, s, substr(x, 2000 * s + 1, 2798) AS x FROM (SELECT r, x, unnest(range(CAST(ceil(length(x) / 2000) AS BIGINT))) AS s FROM texts)),
+places AS (SELECT r, s, x, unnest(range(least(1000, CAST(length(x) / 2 AS BIGINT)))) AS i FROM parts),
+windows AS (SELECT r, 1000 * s + i AS i, substr(x, 2 * i + 1, 2) AS byte,
+                   CASE WHEN 2 * i + 800 <= length(x) THEN md5(substr(x, 2 * i + 1, 800)) END AS w FROM places),
+counted AS (SELECT r, i, byte, w IS NOT NULL AND count(*) OVER (PARTITION BY w) > 1 AS again FROM windows),
+marked AS (SELECT r, i, byte, bool_or(again) OVER (PARTITION BY r ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone FROM counted),
+edges AS (SELECT r, i, byte, gone, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM marked),
+kept AS (SELECT r, count(*) FILTER (WHERE gone) AS n_removed, count(*) FILTER (WHERE opens) AS n_spans,
+                coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE NOT gone), '') AS rest FROM edges GROUP BY r)
+SELECT doc_id, CAST(length(x) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(rest, ''))) AS kept_sha256
+FROM texts LEFT JOIN kept ON texts.r = kept.r
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_infill": OP11, "op12_spelling": OP12, "op13_suffix_repeats": OP13}

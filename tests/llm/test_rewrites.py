@@ -1,0 +1,270 @@
+"""Operators 11, 12 and 13 against brute force."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from shiplens.llm import infill, spelling, suffix_repeats
+from shiplens.llm.queries import QUERIES
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, key string, n int, hash bigint"  # the last three clash
+
+
+def _docs(spark, rows):
+    return spark.createDataFrame([(d, t, "x", 0, 1) for d, t in rows], SCHEMA)
+
+
+def _table(spark):
+    return [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+
+
+# ------------------------------------------------------------ 11: fill-in-the-middle
+
+_TOKEN = re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
+
+
+def _infilled(doc_id, text):
+    text = text or ""
+    units = _TOKEN.findall(text)
+    n = len(units)
+    h = hashlib.sha256(f"42:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, h3, h4 = (int(h[i:i + 8], 16) for i in (0, 8, 16, 24))
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    if not text or re.search("<[PSM]>", text) or h3 % 100 >= 50:
+        return doc_id, n, "plain", None, None, sha(text), sha(text)
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    spm = h4 % 100 < 80
+    out = f"<S>{s}<P>{p}<M>{m}" if spm else f"<P>{p}<S>{s}<M>{m}"
+    return doc_id, n, "spm" if spm else "psm", len(p), len(m), sha(out), sha(text)
+
+
+def _sorted(rows):
+    return sorted(rows, key=repr)
+
+
+def test_infill_edges(spark):
+    rows = [(i, t) for i, t in enumerate(
+        ["", None, " ", "\t\n", "one", " lead", "trail \n", "a b c d e f", "x <P> y", "<S>", "é ü ö 漢字 \U0001f600 end", "a\x0bb\x0cc",
+         "<", "M> <", "w " * 5000, "verylong" * 20000]) for _ in range(1)]
+    rows += [(100 + i, "alpha beta gamma delta " * (i % 7)) for i in range(60)]
+    rows += [(None, "null id text here"), (7, "other text under one id"), (7, "a b c d e f"), (None, None)]
+    got = [tuple(r) for r in infill.digest(_docs(spark, rows), chunk=2).collect()]
+    assert _sorted(got) == _sorted(_infilled(*r) for r in rows)
+    assert {g[2] for g in got} == {"plain", "psm", "spm"}
+
+
+def test_infill_whole_table_and_outputs(spark):
+    rows = _table(spark)
+    got = QUERIES["op11_infill"](spark, SF)
+    assert _sorted(map(tuple, got.collect())) == _sorted(_infilled(*r) for r in rows)
+    whole = {r.doc_id: (r.form, r.text) for r in infill.transformed(_docs(spark, rows)).collect()}
+    for r in got.collect():
+        assert whole[r.doc_id][0] == r.form
+        assert hashlib.sha256(whole[r.doc_id][1].encode()).hexdigest() == r.output_sha256
+
+
+def test_infill_empty_table(spark):
+    assert infill.digest(_docs(spark, [])).collect() == []
+
+
+# ------------------------------------------------------------ 12: spelling variants
+
+def _counts(rows):
+    n = Counter()
+    for doc_id, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            word = re.sub("[A-Z]", lambda m: m[0].lower(), run)
+            h = zlib.crc32(f"{'' if doc_id is None else doc_id}:{word}".encode())
+            if h % 199 == 0:
+                at = h % len(word)
+                word = word[:at] + word[at + 1:]
+            n[word] += 1
+    return {w: c for w, c in n.items() if len(w) >= 6 and c >= 5}
+
+
+def _near(words):
+    """Near words by shared deletions."""
+    cut = defaultdict(set)
+    for w in words:
+        for p in range(len(w)):
+            cut[w[:p] + w[p + 1:]].add((w, p))
+    out = defaultdict(set)
+    for w in words:
+        for p in range(len(w)):
+            short = w[:p] + w[p + 1:]
+            if short in words:
+                out[w].add(short)
+                out[short].add(w)
+            out[w] |= {v for v, q in cut[short] if q == p and v != w}
+    return out
+
+
+def _variants(rows):
+    words = _counts(rows)
+    near, form = _near(words), {}
+    for w, n in words.items():
+        best = min(near[w], key=lambda v: (-words[v], v), default=None)
+        form[w] = best if best is not None and words[best] >= 5 * n else None
+    out = []
+    for w, n in words.items():
+        root = w
+        while form[root] is not None:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), words[form[w]] if form[w] else None))
+    return out
+
+
+def _typos(seed, n_words, n_docs):
+    r = random.Random(seed)
+    base = ["".join(r.choices("abé", k=r.randint(5, 8))) for _ in range(n_words)]
+    weight = [3 ** r.randint(0, 6) for _ in base]
+    return [(i, " ".join(r.choices(base, weight, k=400)).title() + " × ÷ 漢字 x") for i in range(n_docs)]
+
+
+@pytest.mark.parametrize("block", [3, 512])
+def test_spelling_against_shared_deletions(spark, block):
+    rows = _typos(1, 400, 60) + [(None, "singleton " * 9), (3, None), (4, ""), (5, "singletan " * 50), (5, "singletan " * 50)]
+    got = [tuple(x) for x in spelling.variants(_docs(spark, rows), block=block).collect()]
+    want = _variants(rows)
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum(x[1] is not None for x in want) > 10 and any(x[1] not in (None, x[2]) for x in want)
+
+
+def test_spelling_whole_table(spark):
+    got = [tuple(r) for r in QUERIES["op12_spelling"](spark, SF).collect()]
+    assert sorted(got, key=repr) == sorted(_variants(_table(spark)), key=repr)
+
+
+def test_spelling_empty(spark):
+    assert spelling.variants(_docs(spark, [])).collect() == []
+    assert spelling.variants(_docs(spark, [(1, "short words only")])).collect() == []
+
+
+# ------------------------------------------------------------ 13: repeated passages
+
+def _repeats(rows, least):
+    texts = [(t or "").encode() for _, t in rows]
+    n = Counter(t[i:i + least] for t in texts for i in range(len(t) - least + 1))
+    out = []
+    for (doc_id, _), t in zip(rows, texts):
+        gone = [False] * len(t)
+        for i in range(len(t) - least + 1):
+            if n[t[i:i + least]] > 1:
+                gone[i:i + least] = [True] * least
+        kept = bytes(c for c, g in zip(t, gone) if not g)
+        runs = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        out.append((doc_id, len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+def _passages(seed, n, alphabet="abcdefgh ", edits=True):
+    r = random.Random(seed)
+    word = lambda k: "".join(r.choices(alphabet, k=k))
+    shared = [word(r.randint(15, 60)) for _ in range(8)]
+    rows = []
+    for i in range(n):
+        parts = [r.choice(shared) if r.random() < 0.5 else word(r.randint(0, 40)) for _ in range(r.randint(1, 6))]
+        text = "".join(parts)
+        if edits and text and r.random() < 0.5:
+            p = r.randrange(len(text))
+            text = text[:p] + r.choice("xyzé") + text[p + 1:]
+        rows.append((i, text))
+    return rows
+
+
+@pytest.mark.parametrize("seed,bucket", [(1, 1024), (2, 1024), (3, 2), (4, 2), (5, 1)])
+def test_repeats_against_all_windows(spark, seed, bucket):
+    rows = _passages(seed, 60) + [(None, "abc" * 30), (900, "a" * 100), (900, "zz" * 30), (901, ""), (902, None), (903, "short"),
+                                  (904, "only here, nowhere else at all 1234567890"), (905, "é" * 40), (905, "é" * 40)]
+    got = [tuple(r) for r in suffix_repeats.digest(_docs(spark, rows), least=20, gram=6, bucket=bucket).collect()]
+    assert sorted(got, key=repr) == sorted(_repeats(rows, 20), key=repr)
+
+
+def test_repeats_near_copies_of_one_text(spark):
+    r = random.Random(9)
+    base = "".join(r.choices("abcdefghijklmnop ", k=400))
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for _ in range(r.randint(0, 6)):
+            t[r.randrange(len(t))] = r.choice("XYZ")
+        rows.append((i, "".join(t)))
+    want = sorted(_repeats(rows, 50), key=repr)
+    for bucket in (1024, 8):
+        got = suffix_repeats.digest(_docs(spark, rows), least=50, bucket=bucket).collect()
+        assert sorted(map(tuple, got), key=repr) == want
+
+
+def test_repeats_of_long_texts_cut_into_pieces(spark, monkeypatch):
+    monkeypatch.setattr(suffix_repeats, "PIECE", 64)
+    rows = _passages(11, 40) + [(500, "abcdefgh" * 200), (501, "q" * 700)]
+    texts = [(t or "").encode() for _, t in rows]
+    seen = Counter()
+    for lot in suffix_repeats._pieces(texts, 20):
+        text, _, _, place, first, last = suffix_repeats.anchors([x[2] for x in lot], 20, 6)
+        for t, p, a, b in zip(text, place, first, last):
+            assert a <= p <= p + 6 <= a + 20 and p + 6 <= b + 20 and p <= a + 14
+            for x in range(a, b + 1):
+                seen[lot[t][0], lot[t][1] + x] += 1
+    assert seen == Counter((n, x) for n, t in enumerate(texts) for x in range(len(t) - 20 + 1))
+
+
+def test_repeats_of_the_whole_table(spark):
+    got = [tuple(r) for r in QUERIES["op13_suffix_repeats"](spark, SF).collect()]
+    assert sorted(got, key=repr) == sorted(_repeats(_table(spark), 400), key=repr)
+    assert sum(r[2] for r in got) > 0
+
+
+def test_repeats_empty(spark):
+    assert suffix_repeats.digest(_docs(spark, [])).collect() == []
+
+
+def test_interval_tree_by_definition():
+    r = random.Random(5)
+    for _ in range(200):
+        common = [0] + [r.randint(0, 4) for _ in range(r.randint(1, 12))]
+        found = suffix_repeats.intervals(common)
+        want = set()
+        for a in range(len(common)):
+            for b in range(a + 1, len(common)):
+                depth = min(common[a + 1:b + 1])
+                if (a == 0 or common[a] < depth) and (b + 1 == len(common) or common[b + 1] < depth):
+                    want.add((depth, a, b))
+        assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_maximal_repeats_hold_all_occurrences():
+    r = random.Random(6)
+    for _ in range(100):
+        n = r.randint(2, 9)
+        lefts = [bytes(r.choices(b"ab", k=r.randint(0, 8))) for _ in range(n)]
+        rights = [b"core" + bytes(r.choices(b"ab", k=r.randint(0, 8))) for _ in range(n)]
+        least = 8
+        want = set()
+        for i in range(n):
+            for j in range(i):
+                x, y = (suffix_repeats.common_prefix(a[i], a[j]) for a in (lefts, rights))
+                if x + y >= least:
+                    group = [k for k in range(n) if lefts[k][:x] == lefts[i][:x] and rights[k][:y] == rights[i][:y]]
+                    want.add((x, y, tuple(group)))
+        got = {(x, y, tuple(sorted(m))) for x, y, m in suffix_repeats.maximal_repeats(lefts, rights, least)}
+        # A pair's common extent names its maximal group unless the whole group agrees further on one side.
+        full = {(min(suffix_repeats.common_prefix(lefts[g[0]], lefts[k]) for k in g[1:]),
+                 min(suffix_repeats.common_prefix(rights[g[0]], rights[k]) for k in g[1:]), g) for _, _, g in want}
+        assert got == full
+
+
+def test_repeat_groups_name_every_place(spark):
+    passage = "this passage stands in four places of the corpus"
+    rows = [(1, "one " + passage + " tail"), (2, "two two " + passage), (3, passage + "!" + passage + "?"), (4, "nothing of it")]
+    got = suffix_repeats.repeat_groups(_docs(spark, rows), least=30).collect()
+    places = {(r.doc_id, r.start) for r in got if r.n_bytes == len(passage)}
+    assert places == {(1, 4), (2, 8), (3, 0), (3, len(passage) + 1)}
