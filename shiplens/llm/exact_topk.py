@@ -129,7 +129,8 @@ def top_k(rows: DataFrame, is_query, k: int = 5, pivots: int = 16, rings: int =
                              "qids": [ids[at].astype("<i8").tobytes()], "floors": [floors.astype("<f8").tobytes()],
                              "qvecs": [q.astype("<f8").tobytes()]})
 
-    blocks = saved(dealt.groupBy("pivot", "ring", "part").applyInPandas(
+    # The join has dealt whole rings; their parts go to tasks of their own.
+    blocks = saved(dealt.repartition("pivot", "ring", "part").groupBy("pivot", "ring", "part").applyInPandas(
         pack, "pivot int, near double, far double, no bigint, ids binary, dist binary, vecs binary, "
               "qids binary, floors binary, qvecs binary"), "pivot_blocks")
 
@@ -178,6 +179,6 @@ def top_k(rows: DataFrame, is_query, k: int = 5, pivots: int = 16, rings: int =
 
 def whole_numbers(table: DataFrame, scale: float = 256.0) -> DataFrame:
     """The valid vectors with each component x turned into floor(scale * x)."""
-    # Kept as a double: the floor of a double is one, whatever its size.
-    return valid_vectors(table, zeros=True).withColumn(
-        "v", F.transform("v", lambda x: x * scale - F.pmod(x * scale, F.lit(1.0))))
+    # From 2**53 on every double is whole, and the floor of a large one does not fit a bigint.
+    return valid_vectors(table, zeros=True).withColumn("v", F.transform(
+        "v", lambda x: F.when(F.abs(x * scale) < 2.0**53, F.floor(x * scale).cast("double")).otherwise(x * scale)))

@@ -54,10 +54,12 @@ def shape(rows: DataFrame) -> tuple[int, int, float]:
 
 
 def sample_pivots(rows: DataFrame, count: int, dim: int) -> np.ndarray:
-    """``count`` vectors at most, of the smallest hashes; repeats are left out."""
-    got = (rows.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(4 * count).collect())
-    seen = {tuple(r["v"]): None for r in got}
-    return matrix(list(seen)[:count], dim)
+    """``count`` vectors at most, of the smallest hashes; copies of one vector
+    count once, however many there are."""
+    hashed = rows.select("v", F.xxhash64("v").alias("h"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(count).collect()]
+    got = hashed.where(F.col("h").isin(least)).groupBy("h").agg(F.first("v").alias("v")).orderBy("h").collect()
+    return matrix([r["v"] for r in got], dim)
 
 
 def numbered(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray]]:
