@@ -91,23 +91,38 @@ def _hash_of(data: bytes) -> int:
     return int(mix64(h[:1]).view(np.int64)[0]) if len(h) else 0
 
 
+def _folded(text: str) -> str:
+    """In lower case, but for characters whose lower case has another length:
+    places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
+def _outwards(text: str, at: int, limit: int, width: int, back: bool):
+    """(bytes read, hashes) of the ``width`` words next to ``at`` on the way to
+    ``limit``, those of three bytes or more. Reads twice as far until it has them."""
+    reach = width * 64
+    while True:
+        stop = max(limit, at - reach) if back else min(limit, at + reach)
+        data = _folded(text[stop:at] if back else text[at:stop]).encode("utf-8", "surrogatepass")
+        s, e, h = word_hashes(np.frombuffer(data, np.uint8), _NO_TERM)
+        if stop == limit or len(h) > width:  # else the outermost word may have been cut
+            near = slice(-width, None) if back else slice(width)
+            return data, h[near][(e - s)[near] >= 3]
+        reach *= 2
+
+
 def _contexts(text: str, spans: list, width: int):
     """(entity, line, term) hashes for the terms within ``width`` words of an
     identifier on its line."""
     out = []
     for a, kind, b in spans:
-        # The line is cut at width * 64 characters on both sides: terms further off are not near.
-        left = max(text.rfind("\n", 0, a) + 1, a - width * 64)
         end = text.find("\n", b)
-        right = min(len(text) if end < 0 else end, b + width * 64)
         entity = _hash_of(f"{kind}:{text[a:b]}".lower().encode("utf-8", "surrogatepass"))
-        before = text[left:a].lower().encode("utf-8", "surrogatepass")
-        after = text[b:right].lower().encode("utf-8", "surrogatepass")
+        before, first = _outwards(text, a, text.rfind("\n", 0, a) + 1, width, back=True)
+        after, second = _outwards(text, b, len(text) if end < 0 else end, width, back=False)
         line = _hash_of(before + b"\0" + after)
-        terms = set()
-        for data, near in ((before, slice(-width, None)), (after, slice(width))):
-            s, e, h = word_hashes(np.frombuffer(data, np.uint8), _NO_TERM)
-            terms.update(mix64(h[near][(e - s)[near] >= 3]).view(np.int64).tolist())
+        terms = set(mix64(np.concatenate((first, second))).view(np.int64).tolist())
         out += [(entity, line, t) for t in terms]
     return out
 
@@ -125,7 +140,7 @@ def _hits(texts, packed: bytes, bits: int):
     bytes and offsets, and per occurrence its text, start, end and hash; last, the
     ends of all lines. Terms are compared in lower case."""
     wanted = np.unpackbits(np.frombuffer(packed, np.uint8)).view(bool)
-    data = [(low if len(low := t.lower()) == len(t) else t).encode("utf-8", "surrogatepass") for t in texts]
+    data = [_folded(t).encode("utf-8", "surrogatepass") for t in texts]
     for i, j in chunks_by_bytes(data):
         own = data[i:j]
         ends = np.cumsum([len(d) + 1 for d in own])
@@ -144,8 +159,19 @@ def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float
 
     ``map_bits``: log2 of the bit map's size, which is fixed (128 KB by default).
     """
+    return _spans(_keyed(docs), min_bits, min_share, min_lines, width, map_bits).select("doc_id", "base", "spans")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row_key); with doc_id, row_key names a row's text."""
     text = F.coalesce("text", F.lit(""))
-    docs = docs.select("doc_id", text.alias("text"), F.xxhash64(F.col("doc_id"), text).alias("row_key"))
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"),
+                       F.xxhash64(F.col("doc_id").cast("bigint"), text).alias("row_key"))
+
+
+def _spans(docs: DataFrame, min_bits: float = 8.0, min_share: float = 0.5, min_lines: int = 5, width: int = 8,
+           map_bits: int = 20) -> DataFrame:
+    """Per row of ``_keyed`` documents: doc_id, row_key, base, spans."""
     span = "array<struct<start:int,kind:int,end:int>>"
     found_schema = f"doc_id bigint, row_key bigint, lines int, base {span}, near array<struct<entity:bigint,line:bigint,term:bigint>>"
 
@@ -166,7 +192,7 @@ def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float
 
     spans = found.withColumn("spans", F.col("base"))
     if is_empty(strong):
-        return spans.select("doc_id", "base", "spans")
+        return spans.select("doc_id", "row_key", "base", "spans")
 
     def count(batches: Iterator[pd.DataFrame], packed: bytes) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -185,7 +211,7 @@ def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float
         (share >= min_share) & (F.log2(share * F.lit(float(total_lines)) / F.col("entity_lines")) >= min_bits))
         .select("term").distinct(), "pii_telling")
     if is_empty(telling):
-        return spans.select("doc_id", "base", "spans")
+        return spans.select("doc_id", "row_key", "base", "spans")
 
     def locate(batches: Iterator[pd.DataFrame], packed: bytes) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -206,7 +232,7 @@ def find_personal_data(docs: DataFrame, min_bits: float = 8.0, min_share: float
     free = F.expr("filter(extra, x -> not exists(base, y -> x.start < y.end and y.start < x.end))")
     spans = (found.join(extra, "row_key", "left").withColumn("extra", F.coalesce(free, F.array().cast(span)))
              .withColumn("spans", F.array_sort(F.concat("base", "extra"))))
-    return spans.select("doc_id", "base", "spans")
+    return spans.select("doc_id", "row_key", "base", "spans")
 
 
 def sanitised(text: str, spans) -> str:
@@ -221,16 +247,21 @@ def sanitised(text: str, spans) -> str:
 
 
 def sanitise_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` (doc_id, text) with their spans generalised: doc_id, text.
-    Rows are matched by doc_id, which must be unique here."""
-    spans = find_personal_data(docs, **options)
+    """``docs`` (doc_id, text) with their spans generalised: doc_id, text. Every
+    row gives one, also with a null or repeated doc_id: it meets the spans of its
+    own text."""
+    rows = _keyed(docs)
+    spans = _spans(rows, **options).dropDuplicates(["doc_id", "row_key"]).select(
+        F.col("doc_id").alias("span_doc"), F.col("row_key").alias("span_key"), "spans")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"doc_id": b["doc_id"], "text": [sanitised(t, s) for t, s in zip(b["text"], b["spans"])]})
+            yield pd.DataFrame({"known": b["known"], "id": b["id"], "text": [sanitised(t, s) for t, s in zip(b["text"], b["spans"])]})
 
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(spans, "doc_id")
-    return rows.select("doc_id", "text", "spans").mapInPandas(run, "doc_id bigint, text string")
+    both = rows.join(spans, (F.col("row_key") == F.col("span_key")) & F.col("doc_id").eqNullSafe(F.col("span_doc")))
+    return (both.select(F.col("doc_id").isNotNull().alias("known"), F.coalesce("doc_id", F.lit(0)).alias("id"), "text", "spans")
+            .mapInPandas(run, "known boolean, id bigint, text string")
+            .select(F.when(F.col("known"), F.col("id")).alias("doc_id"), "text"))
 
 
 def _listed(column: str):
