@@ -21,8 +21,9 @@ Chance of missing a link at the threshold: (1 - 0.75**4)**32 or 5e-6 per pair.
 
 Edge cases: null or empty text, or text without words, has an empty set and is
 linked with nothing; fewer words than a shingle make one shingle of all of them;
-rows with one ``doc_id`` are one document with the union of their links, each
-returned with its own set size; a null ``doc_id`` is linked with nothing
+sets, not ids, are compared, so rows with one ``doc_id`` and different texts are
+one document with the union of their links, each returned with its own set size;
+texts of any length are taken whole, ties do not arise, as links are unordered; a null ``doc_id`` is linked with nothing
 (``component_id`` null, kept); an empty table gives no rows; other columns are
 ignored.
 """
@@ -105,7 +106,7 @@ def may_link(regs_a, regs_b, n_a, n_b, threshold: float) -> np.ndarray:
     return fits & (j >= threshold - 5 * error)
 
 
-_SKETCH = "doc_id bigint, n_shingles bigint, set_a bigint, set_b bigint, regs binary, bands array<bigint>"
+_SKETCH = "doc_id bigint, row bigint, n_shingles bigint, set_a bigint, set_b bigint, regs binary, bands array<bigint>"
 
 
 def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -119,7 +120,7 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
             for i, j in chunks_by_bytes(texts, 1 << 20):
                 sets = shingle_sets(texts[i:j], width)
                 sizes = np.array([len(s) for s in sets])
-                out = pd.DataFrame({"doc_id": ids[i:j], "n_shingles": sizes, "set_a": 0, "set_b": 0})
+                out = pd.DataFrame({"doc_id": ids[i:j], "row": batch["row"][i:j], "n_shingles": sizes, "set_a": 0, "set_b": 0})
                 regs, bands = [None] * (j - i), [None] * (j - i)
                 some = np.flatnonzero(sizes)
                 if len(some):
@@ -137,7 +138,8 @@ def sketches(docs: DataFrame, width: int = 5) -> DataFrame:
                 yield out
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
-                       F.coalesce("text", F.lit("")).cast("binary").alias("text")).mapInPandas(run, _SKETCH)
+                       F.coalesce("text", F.lit("")).cast("binary").alias("text"),
+                       F.xxhash64("text").alias("row")).mapInPandas(run, _SKETCH)
 
 
 def _passing(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
@@ -300,12 +302,20 @@ def _confirmed_blocks(rows: DataFrame, texts: DataFrame, threshold: float, width
 
 
 def _blocked(rows: DataFrame) -> DataFrame:
-    """Rows (key, members, rep, ...) of buckets dealt into blocks, once for each
-    pair of blocks (i, j) that their own block is part of."""
-    rows = rows.withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep", "key"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("members", "blocks", "other")
+    """Rows (key, rep, comp, ...) of buckets dealt into blocks, once for each pair
+    of blocks (i, j) that their own block is part of. The component with most rows
+    of a bucket has nothing to find in itself: its blocks meet only the others'."""
+    per_comp = rows.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    sizes = per_comp.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("all"))
+    few = F.ceil((F.col("all") - F.col("most.n")) / BLOCK).cast("int")
+    many = F.ceil(F.col("most.n") / BLOCK).cast("int")
+    sizes = sizes.select("key", F.col("most.comp").alias("main"), few.alias("few"), many.alias("many"))
+    rows, drawn = rows.join(sizes, "key"), F.xxhash64("rep", "key")
+    main = F.col("comp") == F.col("main")
+    rows = rows.withColumn("own", F.when(main, F.col("few") + F.pmod(drawn, F.col("many"))).otherwise(F.pmod(drawn, F.col("few"))).cast("int"))
+    last = F.when(main, F.col("few")).otherwise(F.col("few") + F.col("many"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), last - 1)))
+    return rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")}).drop("few", "many", "main", "other")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
@@ -313,12 +323,12 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
     ``kept``. Two documents are linked where their sets' Jaccard similarity is
     ``threshold`` (in whole percents) or more."""
     sk = saved(sketches(docs, width), "sketch")
+    # Equal sets are one node, named by the set's digest.
+    rep = F.xxhash64("set_a", "set_b", "n_shingles").alias("rep")
     some = sk.where("n_shingles > 0 and doc_id is not null")
-    groups = saved(some.groupBy("set_a", "set_b", "n_shingles").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("regs").alias("regs"),
-        F.first("bands").alias("bands")), "sets")
-    copies = some.join(groups.where("copies > 1").select("set_a", "set_b", "n_shingles", "rep"),
-                       ["set_a", "set_b", "n_shingles"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
+    groups = saved(some.groupBy(rep).agg(
+        F.min(F.struct("doc_id", "row")).alias("at"), F.first("n_shingles").alias("n_shingles"),
+        F.first("regs").alias("regs"), F.first("bands").alias("bands")), "sets")
 
     # Buckets of two or more representatives.
     members = groups.select("rep", F.posexplode("bands").alias("band", "key"))
@@ -328,9 +338,13 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
     links = None
     if not is_empty(buckets):
         ids = buckets.select("rep").distinct()
-        reps = saved(groups.select("rep", "regs", "n_shingles").join(ids, "rep"), "regs")
-        texts = saved(docs.select(F.col("doc_id").cast("bigint").alias("rep"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
-                      .join(ids, "rep").dropDuplicates(["rep"]), "texts")
+        some_groups = groups.join(ids, "rep")
+        reps = saved(some_groups.select("rep", "regs", "n_shingles"), "regs")
+        wanted = some_groups.select("rep", "at.doc_id", "at.row")
+        texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("row"),
+                            F.col("text").cast("binary").alias("text"))
+        # Rows that repeat an id and a text are one row of it.
+        texts = saved(texts.join(wanted, ["doc_id", "row"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
 
         def compare(pairs: DataFrame, so_far: DataFrame | None) -> DataFrame:
             found = _confirmed(saved(pairs, "pairs"), texts, threshold, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
@@ -351,24 +365,36 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75, width: int = 5) ->
         star = (rows.join(comp_of_drawn, ["key", "drawn"]).where("comp <> drawn_comp")
                 .select(F.greatest("rep", "drawn").alias("a"), F.least("rep", "drawn").alias("b")).distinct())
         links = compare(_passing(star, reps, threshold), links)
-        rows = apart(connected_components(links)).select("key", "band", "members", "rep", "comp")
+        rows = apart(connected_components(links)).select("key", "band", "rep", "comp")
         rows = saved(_with_partners(_blocked(rows.join(reps, "rep")), threshold), "partners")
         found = _confirmed_blocks(rows, texts, threshold, width).select(F.col("a").alias("u"), F.col("b").alias("v"))
         links = saved(found.unionByName(links), "links")
-    edges = copies if links is None else copies.unionByName(links)
-    comp = connected_components(edges)
-    out = sk.select("doc_id", "n_shingles").join(comp, sk["doc_id"] == comp["node"], "left")
-    component = F.coalesce("component", "doc_id")
+    out = sk.select("doc_id", "n_shingles", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), rep).alias("rep"))
+    if links is not None:
+        comp = connected_components(links)
+        out = out.join(comp, out["rep"] == comp["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+    out = saved(out.select("doc_id", "n_shingles", "rep"), "set_components")
+    # A document with rows in several components joins these.
+    linked = out.where("doc_id is not null and rep is not null")
+    spread = linked.groupBy("doc_id").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most")
+    across = saved(linked.join(spread, "doc_id").where("rep <> least").select(F.col("rep").alias("u"), F.col("least").alias("v")), "across")
+    if not is_empty(across):
+        comp = connected_components(across)
+        linked = linked.join(comp, linked["rep"] == comp["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+        out = out.join(comp, out["rep"] == comp["node"], "left").withColumn("rep", F.coalesce("component", "rep"))
+    first = linked.groupBy("rep").agg(F.min("doc_id").alias("first"))
+    out = out.select("doc_id", "n_shingles", "rep").join(first, "rep", "left")
+    component = F.coalesce("first", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.75, width: int = 5) -> DataFrame:
     """``docs``, all columns, with one document of each group, and one row of
-    those that repeat a doc_id."""
+    those that repeat a doc_id with its text."""
     found = saved(near_duplicates(docs, threshold, width), "near")
     dropped = found.where("not kept").select("doc_id").distinct()
     out = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     if not is_empty(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")):
-        out = out.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.where("doc_id is null"))
+        out = out.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).unionByName(out.where("doc_id is null"))
     return out
