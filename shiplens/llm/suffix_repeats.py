@@ -300,7 +300,7 @@ def _narrowed(kinds: DataFrame, least: int, width: int) -> DataFrame:
 
 def _sized(kinds: DataFrame) -> DataFrame:
     """With ``kinds``, the number of kinds under the key; keys with one are left out."""
-    sizes = kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    sizes = saved(kinds.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1"), "repeat_sizes")
     return kinds.join(sizes, "key")
 
 
@@ -324,15 +324,22 @@ def _offsets(kinds: DataFrame, least: int, bucket: int, widths: tuple[int, ...]
 
 def _repeated_anchors(rows: DataFrame, least: int, gram: int) -> DataFrame:
     every = saved(_anchor_rows(rows, least, gram), "anchors")
-    several = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Written first: between the exchange and the join nothing may stand, or a hot key is not split.
+    several = saved(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "repeated_keys")
     some = saved(every.join(several, "key", "left_semi"), "repeated_anchors")
     drop_saved(every)
+    drop_saved(several)
     return some
 
 
-def _contexts(rows: DataFrame, some: DataFrame, least: int) -> DataFrame:
+def _kinds(some: DataFrame) -> DataFrame:
+    """(key, kind, n, at): the number of anchors of each kind, and one of them."""
+    return saved(some.groupBy("key", "kind").agg(
+        F.count("*").alias("n"), F.min(F.struct("id", "hash", "place", "first", "last")).alias("at")), "repeat_kinds")
+
+
+def _contexts(rows: DataFrame, kinds: DataFrame, least: int) -> DataFrame:
     """One context (left, right) of each kind under keys with several kinds."""
-    kinds = some.groupBy("key", "kind").agg(F.min(F.struct("id", "hash", "place", "first", "last")).alias("at"))
     wanted = _sized(kinds).select("at.id", "at.hash", F.struct(
         "key", "kind", "kinds", "at.place", "at.first", "at.last").alias("w"))
     lists = wanted.groupBy("id", "hash").agg(F.collect_list("w").alias("wanted"))  # at most a text's anchors
@@ -356,12 +363,11 @@ def repeated_spans(docs: DataFrame, least: int = 400, gram: int | None = None, b
     gram = gram or _default_gram(least)
     rows = _identified(docs)
     some = _repeated_anchors(rows, least, gram)
-    kinds = saved(_contexts(rows, some, least), "contexts")
-    ranges = _offsets(kinds, least, bucket)
+    kinds = _kinds(some)
+    ranges = saved(_offsets(saved(_contexts(rows, kinds, least), "contexts"), least, bucket), "repeat_ranges")
     partial = some.join(ranges, ["key", "kind"]).select(
         "id", "hash", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + least).alias("stop"))
-    twice = some.groupBy("key", "kind").agg(F.count("*").alias("n")).where("n > 1").select("key", "kind")
-    whole = some.join(twice, ["key", "kind"], "left_semi").select(
+    whole = some.join(kinds.where("n > 1").select("key", "kind"), ["key", "kind"], "left_semi").select(
         "id", "hash", F.col("first").alias("start"), (F.col("last") + least).alias("stop"))
     return partial.unionByName(whole)
 
@@ -373,7 +379,8 @@ def repeat_groups(docs: DataFrame, least: int = 400, gram: int | None = None) ->
     gram = gram or _default_gram(least)
     rows = _identified(docs)
     some = _repeated_anchors(rows, least, gram)
-    kinds = saved(_contexts(rows, some, least), "contexts").where(F.col("kinds") <= BUCKET)
+    every = _kinds(some)
+    kinds = saved(_contexts(rows, every, least), "contexts").where(F.col("kinds") <= BUCKET)
 
     def work(part: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -386,8 +393,7 @@ def repeat_groups(docs: DataFrame, least: int = 400, gram: int | None = None) ->
 
     groups = _grouped(kinds.select("key", "kind", "left", "right"), work,
                       "key bigint, kind bigint, repeat string, before int, n_bytes int")
-    twice = some.groupBy("key", "kind").agg(F.count("*").alias("n")).where("n > 1").select("key", "kind")
-    alike = some.join(twice, ["key", "kind"], "left_semi").select(
+    alike = some.join(every.where("n > 1").select("key", "kind"), ["key", "kind"], "left_semi").select(
         F.concat_ws(":", "key", "kind").alias("repeat"), (F.col("last") + least - F.col("first")).alias("n_bytes"),
         F.when(F.col("id") != -2**63, F.col("id")).alias("doc_id"), F.col("first").alias("start"))
     return some.join(groups, ["key", "kind"]).select(
