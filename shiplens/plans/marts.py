@@ -16,7 +16,7 @@ from shiplens.functions.nullsafe import safe_div
 from shiplens.functions.numeric import AMOUNT_DP, RATIO_DP
 from shiplens.functions.text import count_text, money_text, pct_text, thousands_text
 from shiplens.operators.measures import LINES
-from shiplens.operators.pareto import pareto_order, with_vital_few
+from shiplens.operators.pareto import pareto_order, with_cum_share, with_vital_few
 from shiplens.operators.surge import with_surge
 from shiplens.plans import kpis
 
@@ -31,8 +31,11 @@ def _top(df: DataFrame, n: int, *order) -> DataFrame:
 
 def chart_otif_by_carrier(df, g=LINES):
     """Tier OTIF % with the unweighted network-average line and axis bound."""
+    return otif_chart(kpis.otif_by_carrier(df, g))
+
+
+def otif_chart(k1: DataFrame) -> DataFrame:
     whole = Window.partitionBy()
-    k1 = kpis.otif_by_carrier(df, g)
     return k1.select(
         "shipping_mode", "orders",
         (F.col("otif_rate") * PCT).alias("otif_pct"),
@@ -42,7 +45,11 @@ def chart_otif_by_carrier(df, g=LINES):
 
 
 def chart_otif_monthly(df, g=LINES):
-    return kpis.otif_monthly(df, g).select(
+    return monthly_chart(kpis.otif_monthly(df, g))
+
+
+def monthly_chart(k3: DataFrame) -> DataFrame:
+    return k3.select(
         "order_month",
         F.to_date("order_month", "yyyy-MM").cast("string").alias("month_start"),
         (F.col("otif_rate") * PCT).alias("otif_pct"),
@@ -69,7 +76,17 @@ def _cost_chart(regions: DataFrame, n: int) -> DataFrame:
 
 
 def chart_leakage_by_region(df, g=LINES, n: int = 10):
-    regions = kpis.cost_by_region(df, g).select(
+    return _leakage_chart(kpis.cost_by_region(df, g), n)
+
+
+def leakage_by_region(cells: DataFrame, n: int = 10) -> DataFrame:
+    """The same chart from the stored region x carrier table."""
+    return _leakage_chart(cells.groupBy("order_region").agg(
+        F.sum("total_margin_leakage").alias("total_margin_leakage")), n)
+
+
+def _leakage_chart(regions: DataFrame, n: int) -> DataFrame:
+    regions = regions.select(
         "order_region", "total_margin_leakage",
         (F.col("total_margin_leakage") / 1000).alias("total_margin_leakage_k"),
         thousands_text(F.col("total_margin_leakage")).alias("label"))
@@ -77,13 +94,20 @@ def chart_leakage_by_region(df, g=LINES, n: int = 10):
 
 
 def chart_edd_by_carrier(df, g=LINES):
-    return kpis.edd_by_carrier(df, g).select(
+    return edd_chart(kpis.edd_by_carrier(df, g))
+
+
+def edd_chart(k6: DataFrame) -> DataFrame:
+    return k6.select(
         "shipping_mode", (F.col("edd_met_rate") * PCT).alias("edd_met_pct"), "avg_variance",
         pct_text(F.col("edd_met_rate")).alias("label"))
 
 
 def chart_pareto(df, key: str, g=LINES, n: int = 10):
-    p = kpis.failed_by(df, key, g)
+    return pareto_chart(kpis.failed_by(df, key, g), key, n)
+
+
+def pareto_chart(p: DataFrame, key: str, n: int = 10) -> DataFrame:
     top = _top(p, n, *pareto_order(key, "failed_orders"))
     return top.select(key, "failed_orders", (F.col("cum_pct") * PCT).alias("cum_pct_100"))
 
@@ -105,15 +129,22 @@ CROSS_BORDER_METRICS = ("otif_rate", "on_time_rate_post_customs_adj", "cancel_ra
 
 def chart_cross_border(df, g=LINES):
     """Lane x 3 rates in long form, in percent."""
-    k10 = kpis.cross_border_summary(df, g).select("lane", *CROSS_BORDER_METRICS)
-    long = k10.unpivot(["lane"], list(CROSS_BORDER_METRICS), "metric", "rate")
+    return cross_border_chart(kpis.cross_border_summary(df, g))
+
+
+def cross_border_chart(k10: DataFrame) -> DataFrame:
+    long = k10.select("lane", *CROSS_BORDER_METRICS).unpivot(["lane"], list(CROSS_BORDER_METRICS), "metric", "rate")
     return long.select("lane", "metric", (F.col("rate") * PCT).alias("value_pct"),
                        pct_text(F.col("rate")).alias("label"))
 
 
 def corporate_surge(df, g=LINES, k: float = 1.0):
     """Corporate monthly orders with the mean + k*std threshold and flag."""
-    return with_surge(kpis.corporate_monthly(df, g).select("order_month", "orders"), "orders", k)
+    return surge_chart(kpis.corporate_monthly(df, g), k)
+
+
+def surge_chart(k12: DataFrame, k: float = 1.0) -> DataFrame:
+    return with_surge(k12.select("order_month", "orders"), "orders", k)
 
 
 def surge_months(df, g=LINES, k: float = 1.0):
@@ -122,13 +153,19 @@ def surge_months(df, g=LINES, k: float = 1.0):
 
 def chart_corporate_mix(df, g=LINES, n: int = 8):
     """Top Corporate categories by order count (plotted value: units)."""
-    k13 = kpis.corporate_category(df, g)
+    return mix_chart(kpis.corporate_category(df, g), n)
+
+
+def mix_chart(k13: DataFrame, n: int = 8) -> DataFrame:
     return _top(k13, n, F.col("orders").desc(), F.col("category_name").asc()).select(
         "category_name", "orders", "total_units")
 
 
 def chart_savings_by_lever(df, g=LINES, sp=DEFAULT_SCENARIO):
-    lv = kpis.savings_by_lever(df, g, sp)
+    return lever_chart(kpis.savings_by_lever(df, g, sp))
+
+
+def lever_chart(lv: DataFrame) -> DataFrame:
     return lv.select(
         "lever", "annual_savings", "pct_of_total_cost",
         (F.col("annual_savings") / 1000).alias("annual_savings_k"),
@@ -198,7 +235,11 @@ def cards(s: DataFrame) -> DataFrame:
 def wb_topline(df, g=LINES, sp=DEFAULT_SCENARIO):
     """Topline sheet: 11 inputs (three counts derived from rounded rates), as
     amounts, and six derived ratios, as (metric, value) rows."""
-    s = _summary_rounded(df, g, sp)
+    return topline_sheet(_summary_rounded(df, g, sp))
+
+
+def topline_sheet(s: DataFrame) -> DataFrame:
+    """The sheet of a one-row summary."""
     n = F.col("total_orders").cast("double")
     derived_count = lambda r: F.bround(F.col(r) * n, 0)
     # The sheet's metric labels, here and in ``derived``.
@@ -248,7 +289,6 @@ def wb_otif_by_carrier(df, g=LINES):
     (orders, OTIF orders and the order-weighted OTIF rate)."""
     from shiplens.operators.filters import non_null_keys
     from shiplens.operators.measures import mean, orders
-    from shiplens.operators.reshape import with_total_row
 
     detail = non_null_keys(df, ["shipping_mode"]).groupBy("shipping_mode").agg(
         orders(g).alias("orders"),
@@ -258,6 +298,13 @@ def wb_otif_by_carrier(df, g=LINES):
         F.bround(mean(g, "transit_variance_days"), 2).alias("avg_transit_variance"),
         F.bround(mean(g, "cost_per_order"), 2).alias("avg_cost_per_order"),
     )
+    return carrier_sheet(detail)
+
+
+def carrier_sheet(detail: DataFrame) -> DataFrame:
+    """Counts per tier with their total row, and the rates of both."""
+    from shiplens.operators.reshape import with_total_row
+
     out = with_total_row(detail, "shipping_mode", TOTAL_LABEL, ("orders", "otif_orders"))
     return out.withColumns({
         "otif_rate": safe_div(F.col("otif_orders"), F.col("orders")),
@@ -277,7 +324,11 @@ def wb_edd_by_carrier(df, g=LINES):
         F.bround(mean(g, "real_days"), 2).alias("avg_real_days"),
         F.bround(mean(g, "transit_variance_days"), 2).alias("avg_variance"),
     )
-    return out.withColumn("edd_met_rate", safe_div(F.col("edd_met_orders"), F.col("orders")))
+    return edd_sheet(out)
+
+
+def edd_sheet(detail: DataFrame) -> DataFrame:
+    return detail.withColumn("edd_met_rate", safe_div(F.col("edd_met_orders"), F.col("orders")))
 
 
 def wb_pareto(df, g=LINES):
@@ -286,8 +337,6 @@ def wb_pareto(df, g=LINES):
     Both blocks come from one scan of the failed lines: a grouping-sets
     aggregate ((region), (category)), then a running share per block.
     """
-    from pyspark.sql import Window
-
     from shiplens.operators.measures import orders, total
 
     failed = df.where(F.col("is_cancelled") == 1)
@@ -300,18 +349,22 @@ def wb_pareto(df, g=LINES):
         F.when(by_region, F.lit("By Region")).otherwise(F.lit("By Category")).alias("dimension"),
         F.when(by_region, F.col("order_region")).otherwise(F.col("category_name")).alias("key"),
         "failed_orders", "reshipment_cost").where(F.col("key").isNotNull())
-    running = (Window.partitionBy("dimension").orderBy(F.col("failed_orders").desc(), F.col("key").asc())
-               .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return blocks.select(
-        "dimension", "key", "failed_orders", F.bround(F.col("reshipment_cost"), 2).alias("reshipment_cost"),
-        safe_div(F.sum("failed_orders").over(running), F.sum("failed_orders").over(Window.partitionBy("dimension")))
-        .alias("cum_pct"))
+    return pareto_sheet(blocks)
+
+
+def pareto_sheet(blocks: DataFrame) -> DataFrame:
+    """Stacked blocks (dimension, key, failed_orders, reshipment_cost) with their running shares."""
+    return with_cum_share(blocks, "key", by=("dimension",)).select(
+        "dimension", "key", "failed_orders", F.bround(F.col("reshipment_cost"), 2).alias("reshipment_cost"), "cum_pct")
 
 
 def wb_savings_by_lever(df, g=LINES, sp=DEFAULT_SCENARIO):
+    return lever_sheet(kpis.savings_by_lever(df, g, sp))
+
+
+def lever_sheet(lv: DataFrame) -> DataFrame:
     from shiplens.operators.reshape import with_total_row
 
-    lv = kpis.savings_by_lever(df, g, sp)
     return with_total_row(lv, "lever", "TOTAL", ("annual_savings",))
 
 

@@ -8,9 +8,14 @@ export for spreadsheet users.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shiplens.sources import contracts
+
 
 def work_folder(spark: SparkSession, fallback: str) -> str:
     """Where intermediate tables go: the shared folder the cluster names in
@@ -19,6 +24,24 @@ def work_folder(spark: SparkSession, fallback: str) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or fallback
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``; without it a temporary one, but only
+    where driver and executors are one machine."""
+    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = "file://" + tempfile.gettempdir()
+    return folder
+
+
+def remove_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted when the application ends."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder in any store that Spark reaches."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -45,6 +68,58 @@ def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None,
     df.write.mode("overwrite").partitionBy("order_month").parquet(path)
 
 
+def merge_enriched(late: DataFrame, path: str, key: str = "line_key") -> list[str]:
+    """Late or corrected enriched lines into the month-partitioned table at
+    ``path``; returns the months rewritten.
+
+    A line of ``late`` replaces the stored one of its key, also where the month
+    has changed. Only months whose rows change are rewritten (dynamic partition
+    overwrite): the others' files stay, and a repeated run rewrites none. The
+    merged months are written to the work folder first, so nothing is
+    overwritten while it is read. Of late lines with one key the one of the
+    largest row hash counts; lines without a key are added once (equal ones are
+    not repeated).
+    """
+    spark = late.sparkSession
+    stored = read_enriched(spark, path).withColumn("order_month", F.col("order_month").cast("string"))
+    late = late.select(stored.columns)
+    # A month's own null partition reads back as null.
+    digest = F.xxhash64(*stored.columns)
+    newest = late.groupBy(F.coalesce(key, digest.cast("string")).alias("__key")).agg(F.max_by(F.struct(*stored.columns), digest).alias("r"))
+    temp = f"{work_folder(spark, fallback=path + '_merge').rstrip('/')}/shiplens_merge_{uuid.uuid4().hex}"
+    newest.select("r.*").write.parquet(f"{temp}/late")
+    fresh = spark.read.schema(stored.schema).parquet(f"{temp}/late")
+    same = fresh.where(F.col(key).isNull()).select(digest.alias("__digest")).distinct()
+    keyless = stored.where(F.col(key).isNull()).join(same, F.xxhash64(*stored.columns) == F.col("__digest"), "left_anti")
+    held = fresh.where(F.col(key).isNotNull()).select(key)
+    # Months that gain lines, and those that hold an older version of one.
+    months = (fresh.select("order_month")
+              .unionByName(stored.select(key, "order_month").join(held, key, "left_semi").select("order_month"))
+              .distinct())
+    touched = [r[0] for r in months.collect()]  # a row per calendar month at most
+    in_months = F.col("order_month").isin([m for m in touched if m is not None])
+    in_months = F.coalesce(in_months, F.lit(None in touched))
+    kept = stored.where(F.col(key).isNotNull() & in_months).join(held, key, "left_anti").unionByName(keyless.where(in_months))
+    kept.unionByName(fresh).write.parquet(f"{temp}/months")
+    merged = spark.read.schema(stored.schema).parquet(f"{temp}/months")
+
+    def state(df: DataFrame) -> dict:
+        rows = df.groupBy("order_month").agg(F.count("*"), F.sum(F.xxhash64(*stored.columns).cast("decimal(38,0)"))).collect()
+        return {r[0]: tuple(r)[1:] for r in rows}
+
+    before, after = state(stored.where(in_months)), state(merged)
+    changed = sorted((m for m in touched if before.get(m) != after.get(m) and m in after), key=str)
+    emptied = [m for m in touched if m in before and m not in after]
+    if changed:
+        new = F.coalesce(F.col("order_month").isin([m for m in changed if m is not None]), F.lit(None in changed))
+        (merged.where(new).hint("rebalance", "order_month").write.mode("overwrite")
+         .option("partitionOverwriteMode", "dynamic").partitionBy("order_month").parquet(path))
+    for m in emptied:  # all its lines moved to another month
+        remove_path(spark, f"{path.rstrip('/')}/order_month={m if m is not None else '__HIVE_DEFAULT_PARTITION__'}")
+    remove_path(spark, temp)
+    return changed + sorted(emptied, key=str)
+
+
 def read_enriched(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
@@ -60,11 +135,30 @@ def write_kpi(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         raise ValueError(f"unknown format {fmt!r}")
 
 
-def read_kpi(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
+def read_kpi(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, name: str | None = None) -> DataFrame:
+    """A stored KPI table. ``name``: the table it must be; its declared columns,
+    types and key are checked (a CSV value that does not fit its type fails the
+    read), and columns come in the declared order. ``schema``: for other CSVs."""
+    if name is not None:
+        return _declared(spark, path, fmt, name)
     if fmt == "csv":
         r = spark.read.option("header", True)
         return (r.schema(schema) if schema is not None else r.option("inferSchema", True)).csv(path)
-    return spark.read.parquet(path)
+    return spark.read.parquet(path) if schema is None else spark.read.schema(schema).parquet(path)
+
+
+def _declared(spark: SparkSession, path: str, fmt: str, name: str) -> DataFrame:
+    types = dict(contracts.columns(name))
+    if fmt == "csv":
+        found = spark.read.option("header", True).csv(path).columns
+        contracts.check_columns(name, found)
+        in_file = ", ".join(f"{c} {types[c]}" for c in found)
+        df = spark.read.option("header", True).option("mode", "FAILFAST").schema(in_file).csv(path)
+    else:
+        df = spark.read.parquet(path)
+        contracts.check_columns(name, df.columns, dict(df.dtypes))
+    contracts.check_key(name, df)
+    return df.select(*types)
 
 
 def summary_value(summary: DataFrame, metric: str, cast: str = "double") -> Column:
