@@ -80,6 +80,7 @@ class CostParams:
     qty_surcharge: float = 1.10      # $ per unit above the first
     noise_sigma: float = 0.6         # invoice-variance noise, N(0, sigma)
     noise_seed: int = 42             # salt of the keyed noise hash
+    noise_key: str = "line_key"      # what a draw is indexed by; "_row_no": the row's place in the export
     cost_floor: float = 2.5          # minimum modelled cost
     default_zone_factor: float = 2.0  # zone factor of unknown regions
     target_ratio: float = 0.06       # healthy shipping cost as share of Sales

@@ -61,7 +61,7 @@ def with_cost_model(df: DataFrame, params: CostParams = DEFAULT_COST,
                        F.greatest(qty - 1, F.lit(0)) * F.lit(params.qty_surcharge))
     raw_cost = F.col("base_ship_rate") * F.col("zone_factor") + surcharge
     if params.noise_sigma:
-        df = df.withColumn("__digest", key_digest(F.col("line_key"), params.noise_seed))
+        df = df.withColumn("__digest", key_digest(F.col(params.noise_key), params.noise_seed))
         raw_cost = raw_cost + keyed_normal(F.col("__digest"), params.noise_sigma)
     # The cost is NULL exactly where the rate or the quantity is.
     cost = F.when(F.col("base_ship_rate").isNotNull() & qty.isNotNull(),

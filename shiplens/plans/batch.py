@@ -9,14 +9,18 @@
    shuffle; its size is bounded by the key domains) and write it to the work
    folder: ``work_dir``, or the shared folder the session names in
    ``spark.checkpoint.dir``, or one inside the output folder. It is removed
-   when the job ends.
+   when the job ends, also when it fails.
 5. Derive all KPI tables (and, optionally, the chart / dashboard /
    workbook / finding datasets under ``marts/`` and display-labelled
    workbook CSVs) from the cube and write each one.
 
+6. Publish all tables at once: a manifest written last names them, and readers
+   (``sources.publish.read_published``) see one run's tables or the one's before.
+
 Nothing is lost silently: ``ingest_rejects`` (raw export: malformed rows,
-values that did not parse) and ``line_quality`` (lines without a month, lines
-on the default zone factor) are written next to the KPI tables.
+values that did not parse; counted while the lines are written, not in a pass
+of its own) and ``line_quality`` (lines without a month, lines on the default
+zone factor; from the cube) are written next to the KPI tables.
 
 Only step 2-4 touch line-level data; every KPI table costs a scan of the
 small cube instead of a scan of the lines.
@@ -26,9 +30,11 @@ from __future__ import annotations
 
 import os
 import uuid
+from contextlib import contextmanager
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 from shiplens.config import DEFAULT_COST, CostParams
 from shiplens.operators.enrich import enrich
@@ -37,7 +43,9 @@ from shiplens.operators.reshape import relabel
 from shiplens.plans import registry
 from shiplens.plans.marts import WORKBOOK_SHEETS
 from shiplens.plans.quality import check_rejects, line_quality
-from shiplens.sources.raw import RAW_COLUMNS, ingest_rejects, read_raw_csv, typed_order_lines
+from shiplens.sources.publish import drop_old_runs, new_run, publish, run_folder
+from shiplens.sources.raw import (RAW_COLUMNS, ingest_rejects, read_raw_csv, reject_counts, rejected_rows,
+                                  typed_order_lines)
 from shiplens.sources.sinks import read_enriched, remove_path, work_folder, write_enriched, write_kpi
 from shiplens.sources.testdata import order_lines_from_tables
 
@@ -99,34 +107,84 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
               workbook: bool = False, encoding: str = "ISO-8859-1",
               clustered: bool = False, marts: bool = False,
               source_headers: bool = False, work_dir: str | None = None,
-              multi_line: bool = False, max_reject_share: float | None = None) -> dict[str, str]:
+              multi_line: bool = False, max_reject_share: float | None = None,
+              keep_runs: int = 2, reject_rows: bool = False) -> dict[str, str]:
     """Run the whole pipeline; returns {table name: path}.
 
+    The tables go to a folder of this run and are published together at the end
+    (``sources/publish.py``); ``keep_runs`` published runs are kept (0: all).
+
     ``max_reject_share``: fail before the KPI tables if more than this share of
     the raw rows is malformed or has a value that does not parse.
+    ``reject_rows``: also write those rows with the columns at fault (a scan of
+    the raw export of its own).
     """
-    paths = {}
+    run_id = new_run()
+    with _removed_on_failure(spark, run_folder(out_dir, run_id)) as run_dir:
+        paths = _run(spark, run_dir, sf_dir, raw_csv, params, tables, kpi_format, write_lines, files_per_month,
+                     parallel_jobs, workbook, encoding, clustered, marts, source_headers,
+                     work_dir or work_folder(spark, fallback=os.path.join(out_dir, "_work")), multi_line,
+                     max_reject_share, reject_rows)
+        publish(spark, out_dir, run_id, paths)
+    drop_old_runs(spark, out_dir, keep_runs)
+    return paths
+
+
+@contextmanager
+def _removed_on_failure(spark: SparkSession, folder: str):
+    try:
+        yield folder
+    except BaseException:
+        remove_path(spark, folder)
+        raise
+
+
+def _run(spark: SparkSession, out_dir: str, sf_dir, raw_csv, params: CostParams, tables, kpi_format: str,
+         write_lines: bool, files_per_month, parallel_jobs: int, workbook: bool, encoding: str, clustered: bool,
+         marts: bool, source_headers: bool, work: str, multi_line: bool, max_reject_share,
+         reject_rows: bool) -> dict[str, str]:
+    paths, raw = {}, None
     if raw_csv is not None:
         raw = read_raw_csv(spark, raw_csv, encoding, multi_line)
-        paths["ingest_rejects"] = os.path.join(out_dir, "ingest_rejects")
-        write_kpi(ingest_rejects(raw), paths["ingest_rejects"], kpi_format)
-        if max_reject_share is not None:
-            check_rejects(ingest_rejects(raw).first().asDict(), max_reject_share)
-        lines = typed_order_lines(raw)
+        # Counted on the rows' way to the enriched lines: the export is parsed once.
+        seen, kept = Observation("raw rows"), Observation("kept lines")
+        lines = typed_order_lines(raw.observe(seen, *reject_counts(raw)))
+        enriched = enrich(lines, params).observe(kept, F.count(F.lit(1)).alias("n"))
     else:
-        lines = load_order_lines(spark, sf_dir)
-    enriched = enrich(lines, params)
+        enriched = enrich(load_order_lines(spark, sf_dir), params)
     if write_lines:
         paths["order_enriched"] = os.path.join(out_dir, "order_enriched")
         write_enriched(enriched, paths["order_enriched"], files_per_month, clustered)
         enriched = read_enriched(spark, paths["order_enriched"])
-    paths["line_quality"] = os.path.join(out_dir, "line_quality")
-    write_kpi(line_quality(enriched, params), paths["line_quality"], kpi_format)
-
-    work = work_dir or work_folder(spark, fallback=os.path.join(out_dir, "_work"))
     cube_path = os.path.join(work, f"shiplens_cube_{uuid.uuid4().hex}")
-    build_cube(enriched).write.mode("overwrite").parquet(cube_path)
-    cube = spark.read.parquet(cube_path).cache()
+    with _removed_on_failure(spark, cube_path):
+        build_cube(enriched).write.mode("overwrite").parquet(cube_path)
+        cube = spark.read.parquet(cube_path).cache()
+        paths["line_quality"] = os.path.join(out_dir, "line_quality")
+        quality = line_quality(cube, params, CUBE)
+        write_kpi(quality, paths["line_quality"], kpi_format)
+        if raw is not None:
+            rejects = dict(seen.get)
+            if kept.get["n"] != quality.first().kept_lines:
+                # Tasks that a lost executor made run again were counted again.
+                rejects = ingest_rejects(raw).first().asDict()
+            paths["ingest_rejects"] = os.path.join(out_dir, "ingest_rejects")
+            write_kpi(spark.createDataFrame([rejects], ", ".join(f"{c} bigint" for c in rejects)),
+                      paths["ingest_rejects"], kpi_format)
+            if reject_rows:
+                paths["rejected_rows"] = os.path.join(out_dir, "rejected_rows")
+                rejected_rows(raw).write.mode("overwrite").parquet(paths["rejected_rows"])
+            if max_reject_share is not None:
+                check_rejects(rejects, max_reject_share)
+        _write_tables(spark, cube, out_dir, paths, tables, kpi_format, parallel_jobs, marts, workbook, source_headers)
+    cube.unpersist()
+    remove_path(spark, cube_path)
+    return paths
+
+
+def _write_tables(spark: SparkSession, cube: DataFrame, out_dir: str, paths: dict[str, str], tables, kpi_format: str,
+                  parallel_jobs: int, marts: bool, workbook: bool, source_headers: bool) -> None:
+    """Every KPI table (and mart, and sheet) from the cube; adds to ``paths``."""
 
     def one(name: str) -> tuple[str, str]:
         folder = out_dir if name in KPI_TABLES else os.path.join(out_dir, "marts")
@@ -142,6 +200,3 @@ def run_batch(spark: SparkSession, out_dir: str, sf_dir: str | None = None,
         paths.update(dict(pool.map(one, names)))
     if workbook:
         paths.update({f"workbook:{k}": v for k, v in export_workbook(cube, out_dir, parallel_jobs).items()})
-    cube.unpersist()
-    remove_path(spark, cube_path)
-    return paths

@@ -564,6 +564,13 @@ FROM enriched WHERE {nn('order_year', 'shipping_mode')} GROUP BY order_year, shi
   count(*) FILTER (WHERE line_no = {BAD_QTY_LINE}) AS rejected_qty,
   {', '.join(f'CAST(0 AS BIGINT) AS rejected_{c}' for c in ('order_id', 'ship_ts', 'real_days', 'sched_days', 'late_risk', 'sales'))}
 FROM (SELECT CAST(split_part(line_key, '|', 2) AS INTEGER) AS line_no FROM order_lines_r) x""", ""),
+        "csv_rejected_rows": (f"""SELECT line_key, 'sales' AS reasons FROM order_lines_r
+WHERE CAST(split_part(line_key, '|', 2) AS INTEGER) = {BAD_QTY_LINE}""", ""),
+        "csv_line_breaks": ("""SELECT replace(category_name, ' ', chr(10)) AS category_name, count(*) AS lines,
+  CAST(sum(qty) AS BIGINT) AS units FROM order_lines_r GROUP BY 1""", ""),
+        "csv_inferred_dates": ("""SELECT strftime(order_ts, '%Y-%m') AS order_month, count(*) AS lines,
+  'd/M/yyyy H:mm' AS date_format FROM order_lines_r GROUP BY 1""", ""),
+        "sink_late_month": (K3, ""),
         "line_quality": (f"""SELECT count(*) AS kept_lines, count(*) FILTER (WHERE order_month IS NULL) AS lines_without_month,
   count(*) FILTER (WHERE base_ship_rate IS NULL) AS lines_without_rate,
   count(*) FILTER (WHERE order_region IS NULL OR order_region NOT IN {in_list(ZONE_FACTOR)}) AS default_zone_lines

@@ -6,17 +6,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shiplens.config import DEFAULT_COST, CostParams
+from shiplens.operators.measures import LINES
 
 
-def line_quality(enriched: DataFrame, params: CostParams = DEFAULT_COST) -> DataFrame:
-    """One row: kept lines, lines without a month (absent from monthly tables),
+def line_quality(df: DataFrame, params: CostParams = DEFAULT_COST, g=LINES) -> DataFrame:
+    """One row, from the enriched lines or from their cube (month, region and mode
+    are its keys): kept lines, lines without a month (absent from monthly tables),
     lines without a rate, and lines on the default zone factor."""
     on_card = F.coalesce(F.col("order_region").isin(*params.zone_factor), F.lit(False))
-    return enriched.agg(
-        F.count(F.lit(1)).alias("kept_lines"),
-        F.count(F.when(F.col("order_month").isNull(), 1)).alias("lines_without_month"),
-        F.count(F.when(F.col("base_ship_rate").isNull(), 1)).alias("lines_without_rate"),
-        F.count(F.when(~on_card, 1)).alias("default_zone_lines"))
+    has_rate = F.coalesce(F.col("shipping_mode").isin(*params.base_rate), F.lit(False))
+    return df.agg(
+        g.rows().alias("kept_lines"),
+        g.rows(F.col("order_month").isNull()).alias("lines_without_month"),
+        g.rows(~has_rate).alias("lines_without_rate"),
+        g.rows(~on_card).alias("default_zone_lines"))
 
 
 def check_rejects(rejects: dict, max_share: float) -> None:

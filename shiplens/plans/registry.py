@@ -311,6 +311,10 @@ QUERIES: dict[str, Query] = {
     "csv_roundtrip_otif": Query(RT.csv_roundtrip_otif, ratios=RATES + ("avg_transit_variance", "avg_cost_per_order")),
     "csv_ingest_rejects": Query(RT.csv_ingest_rejects),
     "line_quality": Query(q_line_quality),
+    "csv_rejected_rows": Query(RT.csv_rejected_rows),
+    "csv_line_breaks": Query(RT.csv_line_breaks),
+    "csv_inferred_dates": Query(RT.csv_inferred_dates),
+    "sink_late_month": Query(RT.sink_late_month, ratios=("otif_rate", "on_time_rate")),
     "sink_enriched_monthly": Query(RT.sink_enriched_monthly, ratios=("otif_rate", "on_time_rate")),
     "stored_kpi_summary": Query(RT.stored_kpi_summary),
     "stored_kpi_chart": Query(RT.stored_kpi_chart, amounts=("total_cost", "total_cost_k"), ratios=("avg_cpo",)),

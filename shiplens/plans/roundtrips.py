@@ -1,12 +1,12 @@
 """Queries whose answer passes through a source or sink: raw CSV text, the
-enriched sink, stored KPI tables. Each writes to its own folder under the
-session's work folder (overwritten by the next run of the same application) and
-answers from what it reads back.
+enriched sink, stored KPI tables. Every call writes to a folder of its own under
+the session's work folder, deleted when the application ends, and answers from
+what it reads back.
 """
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,8 +15,10 @@ from shiplens.config import RAW_DATE_FORMAT
 from shiplens.operators.enrich import enrich
 from shiplens.operators.reshape import relabel
 from shiplens.plans import kpis, marts
-from shiplens.sources.raw import RAW_COLUMNS, ingest_rejects, read_raw_csv, typed_order_lines
-from shiplens.sources.sinks import read_enriched, read_kpi, work_folder, write_enriched, write_kpi
+from shiplens.sources.raw import (RAW_COLUMNS, infer_date_format, ingest_rejects, read_raw_csv,
+                                  rejected_rows, typed_order_lines)
+from shiplens.sources.sinks import (merge_enriched, read_enriched, read_kpi, remove_at_end, shared_folder, write_enriched,
+                                    write_kpi)
 from shiplens.sources.testdata import order_lines_from_tables
 
 # Kept lines the damaged export spoils (line numbers of the test tables).
@@ -24,8 +26,9 @@ BAD_DATE_LINE, BAD_QTY_LINE = 3, 5
 
 
 def _folder(spark: SparkSession, name: str) -> str:
-    work = work_folder(spark, fallback="file://" + tempfile.gettempdir())
-    return f"{work.rstrip('/')}/shiplens_{spark.sparkContext.applicationId}/{name}"
+    path = f"{shared_folder(spark).rstrip('/')}/shiplens_{uuid.uuid4().hex}"
+    remove_at_end(spark, path)
+    return f"{path}/{name}"
 
 
 def raw_export(lines: DataFrame) -> DataFrame:
@@ -35,11 +38,11 @@ def raw_export(lines: DataFrame) -> DataFrame:
         for header, (name, kind) in RAW_COLUMNS.items()])
 
 
-def _written_export(spark: SparkSession, raw: DataFrame, name: str) -> DataFrame:
+def _written_export(spark: SparkSession, raw: DataFrame, name: str, **options) -> DataFrame:
     path = _folder(spark, name)
     (raw.write.mode("overwrite").option("header", True).option("encoding", "ISO-8859-1")
      .option("quote", '"').option("escape", '"').csv(path))
-    return read_raw_csv(spark, path)
+    return read_raw_csv(spark, path, **options)
 
 
 def csv_roundtrip_otif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +61,47 @@ def csv_ingest_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest_rejects(_written_export(spark, raw, "damaged_export"))
 
 
+def csv_rejected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged rows of an export themselves, with the columns at fault."""
+    raw = raw_export(order_lines_from_tables(spark, sf_dir, ()))
+    line_no = F.split(F.col("`Order Item Id`"), "[|]")[1].cast("int")
+    raw = raw.withColumn("Sales", F.when(line_no == BAD_QTY_LINE, F.lit("n/a")).otherwise(F.col("Sales")))
+    rejected = rejected_rows(_written_export(spark, raw, "damaged_rows"))
+    return rejected.select("line_key", F.concat_ws(",", "reasons").alias("reasons"))
+
+
+def csv_line_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A1: categories with quoted line breaks through a splittable read."""
+    lines = order_lines_from_tables(spark, sf_dir, ("part",))
+    raw = raw_export(lines.withColumn("category_name", F.regexp_replace("category_name", " ", "\n")))
+    raw = typed_order_lines(_written_export(spark, raw, "line_breaks", multi_line=True))
+    return raw.groupBy("category_name").agg(F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("units"))
+
+
+def csv_inferred_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An export of days before months, its format voted for by all its dates."""
+    lines = order_lines_from_tables(spark, sf_dir, ())
+    day_first = "d/M/yyyy H:mm"
+    raw = lines.select([
+        (F.date_format(F.col(name), day_first) if kind == "ts" else F.col(name).cast("string")).alias(header)
+        for header, (name, kind) in RAW_COLUMNS.items()])
+    raw = _written_export(spark, raw, "day_first")
+    found = infer_date_format(raw)
+    typed = typed_order_lines(raw, found)
+    return (typed.groupBy(F.date_format("order_ts", "yyyy-MM").alias("order_month"))
+            .agg(F.count(F.lit(1)).alias("lines")).withColumn("date_format", F.lit(found)))
+
+
+def sink_late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The enriched sink without its lines of number 1, which come late."""
+    path = _folder(spark, "order_enriched_late")
+    enriched = enrich(order_lines_from_tables(spark, sf_dir, ()))
+    late = F.split(F.col("line_key"), "[|]")[1] == "1"
+    write_enriched(enriched.where(~late), path)
+    merge_enriched(enriched.where(late), path)
+    return kpis.otif_monthly(read_enriched(spark, path).withColumn("order_month", F.col("order_month").cast("string")))
+
+
 def sink_enriched_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched sink, partitioned by month -> OTIF by month."""
     path = _folder(spark, "order_enriched")
