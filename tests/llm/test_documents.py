@@ -193,16 +193,17 @@ def test_block_keys_hold_every_bit_once(spark):
 def test_like_pairs_against_all_pairs():
     rng = np.random.default_rng(8)
     check = rng.integers(0, 2**48, 30)
-    check = np.concatenate([check] + [check ^ sum(1 << int(b) for b in rng.integers(0, 48, k)) for k in (3, 9, 12, 15, 20)])
+    check = np.concatenate([check] + [check ^ sum(1 << int(b) for b in rng.integers(0, 48, k)) for k in (2, 6, 9, 11, 15)])
     n = len(check)
     key, size, comp = rng.integers(0, 3, n), rng.integers(90, 112, n), np.arange(n) % 7
     want = {(i, j) for i in range(n) for j in range(i + 1, n) if key[i] == key[j] and comp[i] != comp[j]
             and abs(size[i] - size[j]) <= int(max(size[i], size[j]) * 0.1 + 1e-9)
             and int(check[i] ^ check[j]).bit_count() <= fuzzy_lines.CHECK_RADIUS}
-    a, b = fuzzy_lines.like_pairs(key, size, check, np.arange(n), comp, 0.9)
+    a, b, d = fuzzy_lines.like_pairs(key, size, check, np.arange(n), comp, 0.9)
+    assert d.tolist() == [int(check[i] ^ check[j]).bit_count() for i, j in zip(a, b)]
     got = list(zip(a.tolist(), b.tolist()))
     assert set(got) == want and len(got) == len(want)
-    a, b = fuzzy_lines.like_pairs(key, size, check, np.arange(n), comp, 0.9, True)
+    a, b, _ = fuzzy_lines.like_pairs(key, size, check, np.arange(n), comp, 0.9, True)
     first = set(zip(a.tolist(), b.tolist()))
     assert first <= want and {x for p in first for x in p} == {x for p in want for x in p} and len(first) <= 2 * n
 
