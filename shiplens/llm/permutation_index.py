@@ -35,6 +35,8 @@ from shiplens.llm.vectors import (distances, lifted, matrix, numbered, parts_for
                                   valid_vectors)
 
 SEGMENT, QUERY_BLOCK, SALTS = 8192, 256, 2
+#: Vectors whose places are added up at a time.
+FILE_BLOCK = 2048
 _RESULT = "query_id bigint, rank int, vec_id bigint, score double"
 
 
@@ -46,11 +48,19 @@ def places(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return out
 
 
-def footrule(files: np.ndarray, own: np.ndarray) -> np.ndarray:
-    """Footrule distance of a query from all vectors of a segment; ``files`` has
-    a row per pivot."""
-    apart = np.maximum(files, own[:, None]) - np.minimum(files, own[:, None])
-    return apart.sum(axis=0, dtype=np.int32)
+def inverted(perms: np.ndarray) -> list[np.ndarray]:
+    """A segment's files (a row per pivot) cut into blocks that stay in a core's cache."""
+    wide = np.uint16 if len(perms) <= 256 else np.uint32  # holds any sum of places
+    return [np.ascontiguousarray(perms[:, i:i + FILE_BLOCK], dtype=wide) for i in range(0, perms.shape[1], FILE_BLOCK)]
+
+
+def footrule(files: list[np.ndarray], own: np.ndarray) -> np.ndarray:
+    """Footrule distance of a query from all vectors of a segment; ``files`` from
+    ``inverted``. As the places of any permutation have the same sum, the differences
+    add up to twice the larger places less that sum, twice."""
+    own = own.astype(files[0].dtype)[:, None]
+    larger = [np.maximum(f, own).sum(axis=0, dtype=f.dtype) for f in files]
+    return 2 * np.concatenate(larger).astype(np.int64) - len(own) * (len(own) - 1)
 
 
 def nearest(table: DataFrame, is_query, k: int = 20, pivots: int = 256, rerank: float = 0.06) -> DataFrame:
@@ -101,16 +111,18 @@ def nearest(table: DataFrame, is_query, k: int = 20, pivots: int = 256, rerank:
         "segment": F.explode(F.sequence(F.lit(0), F.lit(segments - 1))),
         "salt": F.pmod(F.xxhash64("ids"), F.lit(SALTS)).cast("int"), "side": F.lit(1)})
 
+    place = np.uint8 if len(centres) <= 256 else np.uint16
+
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = vecs = files = None
         for b in batches:
             for side, i, v, p in zip(b["side"], b["ids"], b["vecs"], b["perms"]):
                 if side == 0:
                     ids, vecs = np.frombuffer(i, "<i8"), unpacked(v, dim)
-                    files = np.frombuffer(p, np.uint8 if len(centres) <= 256 else np.uint16).reshape(len(centres), -1)
+                    files = inverted(np.frombuffer(p, place).reshape(len(centres), -1))
                     continue
                 qids, q = np.frombuffer(i, "<i8"), unpacked(v, dim)
-                perms = np.frombuffer(p, files.dtype).reshape(len(qids), -1)
+                perms = np.frombuffer(p, place).reshape(len(qids), -1)
                 out = []
                 for qid, x, own in zip(qids, q, perms):
                     apart = footrule(files, own)

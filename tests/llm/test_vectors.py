@@ -142,3 +142,13 @@ def test_permutation_index_recall_of_a_large_segment(spark):
     chosen, fewer = recall(), recall(pivots=160)
     print("recall", chosen, fewer)
     assert chosen > fewer
+
+
+@pytest.mark.parametrize("pivots, vectors", [(1, 3), (16, 5000), (256, 2100), (300, 40)])
+def test_footrule_is_the_sum_of_differences(pivots, vectors):
+    rng = np.random.default_rng(pivots)
+    perms = np.argsort(rng.random((vectors, pivots)), axis=1).T
+    perms[:, -1] = np.arange(pivots)[::-1]
+    own = np.arange(pivots)
+    want = np.abs(perms - own[:, None]).sum(axis=0)
+    assert permutation_index.footrule(permutation_index.inverted(perms), own).tolist() == want.tolist()
