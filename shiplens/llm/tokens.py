@@ -31,6 +31,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Spelling(dict):
+    """Characters to the printable ones that a byte-level vocabulary spells their
+    bytes with, as a table for ``str.translate``."""
+
+    def __missing__(self, code: int) -> str:
+        from tokenizers.pre_tokenizers import ByteLevel
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self[code] = "".join(part for part, _ in level.pre_tokenize_str(chr(code)))
+        return self[code]
+
+
 class IdEncoder:
     """Texts to little-endian unsigned 32-bit token ids, as bytes.
 
@@ -44,30 +55,16 @@ class IdEncoder:
         self.tok = Tokenizer.from_file(path or tokenizer_path())
         self.max_units = max_units
         self.units: dict[str, bytes] = {}
-        self.line_feed = self.tok.encode("\n", add_special_tokens=False).ids[0]
+        self.spell = _Spelling()
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         enc = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in enc]
 
     def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit. Units without inner white space go through the
-        library as one text with line feeds between, which the split pattern
-        keeps apart from them; the line feed's id then marks their ends."""
-        joint = [u for u in units if "\n" not in u and not u.isspace()]
-        found: dict[str, bytes] = {}
-        for i in range(0, len(joint), 4096):
-            part = joint[i:i + 4096]
-            ids = np.array(self.tok.encode("\n".join(part), add_special_tokens=False).ids, dtype="<u4")
-            cut = np.flatnonzero(ids == self.line_feed)
-            if len(cut) != len(part) - 1:
-                found.update(zip(part, self._ids(part)))
-                continue
-            a, b = [0, *(cut + 1)], [*cut, len(ids)]
-            found.update((u, ids[x:y].tobytes()) for u, x, y in zip(part, a, b))
-        rest = [u for u in units if u not in found]
-        found.update(zip(rest, self._ids(rest)))
-        return [found[u] for u in units]
+        """Ids of each unit, by the library's merges alone: no text is split again."""
+        merge, spell = self.tok.model.tokenize, self.spell
+        return [np.array([t.id for t in merge(u.translate(spell))], dtype="<u4").tobytes() for u in units]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split: list = []
@@ -75,7 +72,7 @@ class IdEncoder:
             whole = _UNSAFE.search(t) is not None or _SPECIAL in t
             split.append(None if whole else _UNIT.findall(t))
         known = self.units
-        fresh = list(set().union(*(s for s in split if s is not None)) - known.keys())
+        fresh = list(set().union(*(s for s in split if s is not None)).difference(known))
         if fresh:
             known.update(zip(fresh, self._unit_ids(fresh)))
         get = known.__getitem__
