@@ -208,6 +208,32 @@ def test_like_pairs_against_all_pairs():
     assert first <= want and {x for p in first for x in p} == {x for p in want for x in p} and len(first) <= 2 * n
 
 
+def _edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+@pytest.mark.parametrize("stripe", [1, 64, fuzzy_lines.STRIPE])
+def test_edits_side_by_side(monkeypatch, stripe):
+    monkeypatch.setattr(fuzzy_lines, "STRIPE", stripe)
+    rnd, left, right, most = random.Random(3), ["", "", "a", "x" * 300], ["", "ab", "", "x" * 310], [0, 1, 1, 10]
+    for _ in range(800):
+        a = "".join(rnd.choices("abcd\U0001F600", k=rnd.randint(0, 40)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 8)):
+            k = rnd.randint(0, len(b))
+            b[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "d"])
+        left.append(a)
+        right.append("".join(b))
+        most.append(rnd.randint(0, 9))
+    got = fuzzy_lines.within_edits(left, right, np.array(most))
+    assert got.tolist() == [_edits(a, b) <= n for a, b, n in zip(left, right, most)]
+
+
 def test_group_of_near_lines_at_every_distance(spark):
     """Variants of one line up to beyond the threshold from each other."""
     rnd = random.Random(9)
