@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shiplens.config import RAW_DATE_FORMAT
 from shiplens.operators.enrich import enrich
+from shiplens.operators.filters import shipped_status
 from shiplens.operators.reshape import relabel
 from shiplens.plans import kpis, marts
 from shiplens.sources.raw import (RAW_COLUMNS, infer_date_format, ingest_rejects, read_raw_csv,
@@ -92,20 +93,27 @@ def csv_inferred_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
             .agg(F.count(F.lit(1)).alias("lines")).withColumn("date_format", F.lit(found)))
 
 
+def _by_month(lines: DataFrame) -> DataFrame:
+    """Enriched lines, dealt by month before the derived columns are added: the
+    narrow rows are shuffled."""
+    month = shipped_status(lines).withColumn("order_month", F.date_format("order_ts", "yyyy-MM"))
+    return enrich(month.hint("rebalance", "order_month"))
+
+
 def sink_late_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The enriched sink without its lines of number 1, which come late."""
     path = _folder(spark, "order_enriched_late")
-    enriched = enrich(order_lines_from_tables(spark, sf_dir, ()))
+    lines = order_lines_from_tables(spark, sf_dir, ())
     late = F.split(F.col("line_key"), "[|]")[1] == "1"
-    write_enriched(enriched.where(~late), path)
-    merge_enriched(enriched.where(late), path)
+    write_enriched(_by_month(lines.where(~late)), path, clustered=True)
+    merge_enriched(enrich(lines.where(late)), path)
     return kpis.otif_monthly(read_enriched(spark, path).withColumn("order_month", F.col("order_month").cast("string")))
 
 
 def sink_enriched_monthly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Enriched sink, partitioned by month -> OTIF by month."""
     path = _folder(spark, "order_enriched")
-    write_enriched(enrich(order_lines_from_tables(spark, sf_dir, ())), path)
+    write_enriched(_by_month(order_lines_from_tables(spark, sf_dir, ())), path, clustered=True)
     return kpis.otif_monthly(read_enriched(spark, path).withColumn("order_month", F.col("order_month").cast("string")))
 
 

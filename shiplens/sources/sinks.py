@@ -65,7 +65,20 @@ def write_enriched(df: DataFrame, path: str, files_per_month: int | None = None,
         df = df.repartition("order_month", bucket)
     elif not clustered:
         df = df.hint("rebalance", "order_month")
-    df.write.mode("overwrite").partitionBy("order_month").parquet(path)
+    df.write.mode("overwrite").option("compression", "zstd").partitionBy("order_month").parquet(path)
+
+
+#: Files per month, of less than so many bytes on average, from which a merge deals
+#: its months anew.
+MANY_FILES, SMALL_FILE = 16, 16 * 1024 * 1024
+
+
+def _scattered(spark: SparkSession, path: str) -> bool:
+    """Whether the month-partitioned table consists of many small files."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    held = p.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(p)
+    files, months = held.getFileCount(), max(1, held.getDirectoryCount() - 1)
+    return files > MANY_FILES * months and held.getLength() < SMALL_FILE * files
 
 
 def merge_enriched(late: DataFrame, path: str, key: str = "line_key") -> list[str]:
@@ -74,9 +87,11 @@ def merge_enriched(late: DataFrame, path: str, key: str = "line_key") -> list[st
 
     A line of ``late`` replaces the stored one of its key, also where the month
     has changed. Only months whose rows change are rewritten (dynamic partition
-    overwrite): the others' files stay, and a repeated run rewrites none. The
-    merged months are written to the work folder first, so nothing is
-    overwritten while it is read. Of late lines with one key the one of the
+    overwrite, which drops old files once all new ones are written): the others'
+    files stay, and a repeated run rewrites none. Stored lines are found by key
+    and month alone and are not shuffled: those that stay go from a month's old
+    files to its new ones, and late lines are dealt by month. Only a table of
+    many small files is dealt anew whole. Of late lines with one key the one of the
     largest row hash counts; lines without a key are added once (equal ones are
     not repeated).
     """
@@ -87,33 +102,40 @@ def merge_enriched(late: DataFrame, path: str, key: str = "line_key") -> list[st
     digest = F.xxhash64(*stored.columns)
     newest = late.groupBy(F.coalesce(key, digest.cast("string")).alias("__key")).agg(F.max_by(F.struct(*stored.columns), digest).alias("r"))
     temp = f"{work_folder(spark, fallback=path + '_merge').rstrip('/')}/shiplens_merge_{uuid.uuid4().hex}"
-    newest.select("r.*").write.parquet(f"{temp}/late")
+    newest.select("r.*").write.option("compression", "zstd").parquet(f"{temp}/late")
     fresh = spark.read.schema(stored.schema).parquet(f"{temp}/late")
     same = fresh.where(F.col(key).isNull()).select(digest.alias("__digest")).distinct()
     keyless = stored.where(F.col(key).isNull()).join(same, F.xxhash64(*stored.columns) == F.col("__digest"), "left_anti")
+    # Keys that a late line replaces, with the months that hold an older version.
     held = fresh.where(F.col(key).isNotNull()).select(key)
-    # Months that gain lines, and those that hold an older version of one.
-    months = (fresh.select("order_month")
-              .unionByName(stored.select(key, "order_month").join(held, key, "left_semi").select("order_month"))
-              .distinct())
-    touched = [r[0] for r in months.collect()]  # a row per calendar month at most
-    in_months = F.col("order_month").isin([m for m in touched if m is not None])
-    in_months = F.coalesce(in_months, F.lit(None in touched))
-    kept = stored.where(F.col(key).isNotNull() & in_months).join(held, key, "left_anti").unionByName(keyless.where(in_months))
-    kept.unionByName(fresh).write.parquet(f"{temp}/months")
-    merged = spark.read.schema(stored.schema).parquet(f"{temp}/months")
+    stored.select(key, "order_month").join(held, key, "left_semi").distinct().write.option("compression", "zstd").parquet(f"{temp}/replaced")
+    replaced = spark.read.schema(stored.select(key, "order_month").schema).parquet(f"{temp}/replaced")
+    holders = [r[0] for r in replaced.select("order_month").distinct().collect()]  # a row per calendar month at most
+    gaining = [r[0] for r in fresh.select("order_month").distinct().collect()]
+    touched = list(dict.fromkeys(gaining + holders))
+
+    def among(months: list) -> Column:
+        return F.coalesce(F.col("order_month").isin([m for m in months if m is not None]), F.lit(None in months))
+
+    kept = stored.where(F.col(key).isNotNull() & among(touched))
+    if holders:
+        kept = kept.join(replaced.select(key).distinct(), key, "left_anti")
+    kept = kept.unionByName(keyless.where(among(touched)))
 
     def state(df: DataFrame) -> dict:
         rows = df.groupBy("order_month").agg(F.count("*"), F.sum(F.xxhash64(*stored.columns).cast("decimal(38,0)"))).collect()
         return {r[0]: tuple(r)[1:] for r in rows}
 
-    before, after = state(stored.where(in_months)), state(merged)
+    before, after = state(stored.where(among(touched))), state(kept.unionByName(fresh))
     changed = sorted((m for m in touched if before.get(m) != after.get(m) and m in after), key=str)
     emptied = [m for m in touched if m in before and m not in after]
     if changed:
-        new = F.coalesce(F.col("order_month").isin([m for m in changed if m is not None]), F.lit(None in changed))
-        (merged.where(new).hint("rebalance", "order_month").write.mode("overwrite")
-         .option("partitionOverwriteMode", "dynamic").partitionBy("order_month").parquet(path))
+        if _scattered(spark, path):
+            merged = kept.unionByName(fresh).where(among(changed)).hint("rebalance", "order_month")
+        else:
+            merged = kept.where(among(changed)).unionByName(fresh.where(among(changed)).hint("rebalance", "order_month"))
+        (merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
+         .partitionBy("order_month").parquet(path))
     for m in emptied:  # all its lines moved to another month
         remove_path(spark, f"{path.rstrip('/')}/order_month={m if m is not None else '__HIVE_DEFAULT_PARTITION__'}")
     remove_path(spark, temp)
