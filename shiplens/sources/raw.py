@@ -11,6 +11,7 @@ to zoneless timestamps, so the session's time zone plays no part.
 
 from __future__ import annotations
 
+import re
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -163,7 +164,10 @@ def infer_date_format(raw: DataFrame, candidates: tuple[str, ...] = DATE_FORMATS
     if MALFORMED in raw.columns:
         raw = raw.where(F.col(MALFORMED).isNull())
     texts = raw.select(F.explode(F.array(*[F.col(f"`{h}`") for h in dates])).alias("text")).where(F.trim("text") != "")
-    read = texts.select([parse_raw_ts(F.col("text"), c).alias(f"p{i}") for i, c in enumerate(candidates)])
+    # Only what has a format's shape is parsed: a failed parse costs many times a good one.
+    shaped = [parse_raw_ts(F.col("text"), c) if (shape := date_shape(c)) is None
+              else F.when(F.col("text").rlike(shape), parse_raw_ts(F.col("text"), c)) for c in candidates]
+    read = texts.select([p.alias(f"p{i}") for i, p in enumerate(shaped)])
     pairs = list(combinations(range(len(candidates)), 2))
     votes = read.agg(F.count(F.lit(1)).alias("n"), *[F.count(f"p{i}").alias(f"n{i}") for i in range(len(candidates))],
                      *[F.count(F.when(F.col(f"p{i}") != F.col(f"p{j}"), 1)).alias(f"d{i}_{j}") for i, j in pairs]).first()
@@ -176,6 +180,32 @@ def infer_date_format(raw: DataFrame, candidates: tuple[str, ...] = DATE_FORMATS
     return candidates[max(fit, key=lambda i: (counts[candidates[i]], -i))]
 
 
+#: Numbers that a field can hold, by its letters; signs and leading zeros are left to the parser.
+_FIELDS = {"M": "0*(?:1[0-2]|[1-9])", "d": "0*(?:3[01]|[12][0-9]|[1-9])", "H": "0*(?:2[0-3]|1?[0-9])"}
+
+
+def date_shape(date_format: str) -> str | None:
+    """A regular expression found in every text that parses in the format (in others
+    too: it rules texts out). None for formats with other than plain numbers."""
+    if re.search(r"[^yMdHms\W_]|['\[\]{}#]", date_format):
+        return None
+    parts = []
+    for run in re.findall(r"([A-Za-z])(\1*)|(.)", date_format):
+        letter, more, other = run
+        width = len(letter + more)
+        if other:
+            parts.append(re.escape(other))
+        elif width == 1:
+            parts.append("[+-]?" + _FIELDS.get(letter, "[0-9]+"))
+        elif letter == "y" and width > 2:
+            parts.append(f"[+-]?[0-9]{{{width},}}")
+        elif width == 2:
+            parts.append("[0-9]{2}")
+        else:
+            return None
+    return "(?<![0-9])" + "".join(parts)
+
+
 def parse_raw_ts(text: Column, date_format: str = RAW_DATE_FORMAT) -> Column:
     """Raw date text -> timestamp_ntz; NULL when it does not parse."""
     one = F.from_csv(text, "ts timestamp_ntz", {"timestampNTZFormat": date_format, "sep": "\u0001"})
