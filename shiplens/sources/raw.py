@@ -80,53 +80,62 @@ def read_raw_csv(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
             .select("r.*"))
 
 
+#: Most lines of a split whose quotes are counted one after the other.
+UNIT_LINES = 1 << 14
+
+
 def quoted_records(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> DataFrame:
     """(file, is_header, record): the records of CSV files with line breaks inside
     quotes, each file read by as many tasks as it has splits.
 
     Files are read as lines. A line that starts after an odd number of quotes is
     inside a field: whether it does follows from the parity of the quotes of each
-    split, summed over the splits before it, and of the lines before it in its
-    split. Lines that are whole records pass through; only the lines of broken
-    records are grouped and joined again. Quotes must follow the usual rule (they
+    unit (``UNIT_LINES`` lines of a split at most, so that a task's memory does not
+    grow with the splits), summed over the units before it, and of the lines before
+    it in its unit. Lines that are whole records pass through; only the lines of
+    broken records are grouped and joined again. Quotes must follow the usual rule (they
     enclose a field, and are doubled inside one); a file that ends inside quotes
     fails the read. Lines end in a line feed, with or without carriage return.
     """
     lines = spark.read.option("lineSep", "\n").text(path).select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"),
         F.monotonically_increasing_id().alias("no"), F.decode(F.col("value").cast("binary"), encoding).alias("line"))
-    lines = lines.withColumn("odd", F.pmod(F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit(""))), F.lit(2)))
+    lines = lines.withColumns({
+        "odd": F.pmod(F.length("line") - F.length(F.replace(F.col("line"), F.lit('"'), F.lit(""))), F.lit(2)),
+        "block": F.floor(F.col("no") / F.lit(UNIT_LINES))})
 
-    # One row per split: quotes before it, and whether its file's quotes pair up.
-    in_file = Window.partitionBy("file").orderBy("split")
-    before = in_file.rowsBetween(Window.unboundedPreceding, -1)
-    splits = lines.groupBy("file", "split").agg(F.sum("odd").alias("odd"))
+    # One row per unit: its number in its file, quotes before it, and whether the file's quotes pair up.
+    own = ["file", "split", "block"]
+    in_file = Window.partitionBy("file").orderBy("split", "block")
     open_quotes = F.raise_error(F.concat(F.lit("quotes are not closed in "), "file")).cast("int")
-    splits = splits.select("file", "split", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("ahead"),
-                           (F.sum("odd").over(Window.partitionBy("file")) % 2).alias("unpaired"))
-    splits = splits.select("file", "split", F.when(F.col("unpaired") == 1, open_quotes).otherwise(F.col("ahead") % 2).alias("ahead"))
-
-    in_split = Window.partitionBy("file", "split").orderBy("no")
-    ahead = F.coalesce(F.sum("odd").over(in_split.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = lines.join(splits, ["file", "split"]).withColumn("starts", (F.col("ahead") + ahead) % 2 == 0)
-    upto = in_split.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = placed.withColumn("number", F.count(F.when(F.col("starts"), 1)).over(upto))  # 0: begun in an earlier split
+    units = lines.groupBy(*own).agg(F.sum("odd").alias("odd"))
+    units = units.select(*own, F.row_number().over(in_file).alias("unit"),
+                         F.coalesce(F.sum("odd").over(in_file.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"),
+                         (F.sum("odd").over(Window.partitionBy("file")) % 2).alias("unpaired"))
+    units = units.select(*own, "unit", F.when(F.col("unpaired") == 1, open_quotes).otherwise(F.col("ahead") % 2).alias("ahead"))
+
+    in_unit = Window.partitionBy(*own).orderBy("no")
+    ahead = F.coalesce(F.sum("odd").over(in_unit.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = lines.join(units, own).withColumn("starts", (F.col("ahead") + ahead) % 2 == 0)
+    upto = in_unit.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = placed.withColumn("number", F.count(F.when(F.col("starts"), 1)).over(upto))  # 0: begun in an earlier unit
     whole = F.col("starts") & (F.col("odd") == 0)
-    first = (F.col("split") == 0) & (F.col("number") == 1)
+    first = (F.col("unit") == 1) & (F.col("number") == 1)
     one = placed.where(whole).select("file", first.alias("is_header"), F.col("line").alias("record"))
 
-    # The record that is open at a split's start is the last one begun before it.
-    begun = placed.groupBy("file", "split").agg(F.max("number").alias("records"))
+    # The record that is open at a unit's start is the last one begun before it.
+    begun = placed.groupBy("file", "unit").agg(F.max("number").alias("records"))
     some = F.col("records") > 0
-    owner = begun.select("file", "split",
-                         F.last(F.when(some, F.col("split")), ignorenulls=True).over(before).alias("owner"),
+    before = Window.partitionBy("file").orderBy("unit").rowsBetween(Window.unboundedPreceding, -1)
+    owner = begun.select("file", "unit",
+                         F.last(F.when(some, F.col("unit")), ignorenulls=True).over(before).alias("owner"),
                          F.last(F.when(some, F.col("records")), ignorenulls=True).over(before).alias("last"))
-    broken = placed.where(~whole).join(owner, ["file", "split"])
+    broken = placed.where(~whole).join(owner, ["file", "unit"])
     here = F.col("number") > 0
-    parts = broken.select("file", F.when(here, F.col("split")).otherwise(F.col("owner")).alias("owner"),
-                          F.when(here, F.col("number")).otherwise(F.col("last")).alias("number"), "split", "no", "line")
-    joined = parts.groupBy("file", "owner", "number").agg(F.array_sort(F.collect_list(F.struct("split", "no", "line"))).alias("lines"))
-    joined = joined.select("file", ((F.col("owner") == 0) & (F.col("number") == 1)).alias("is_header"),
+    parts = broken.select("file", F.when(here, F.col("unit")).otherwise(F.col("owner")).alias("owner"),
+                          F.when(here, F.col("number")).otherwise(F.col("last")).alias("number"), "unit", "no", "line")
+    joined = parts.groupBy("file", "owner", "number").agg(F.array_sort(F.collect_list(F.struct("unit", "no", "line"))).alias("lines"))
+    joined = joined.select("file", ((F.col("owner") == 1) & (F.col("number") == 1)).alias("is_header"),
                            F.array_join("lines.line", "\n").alias("record"))
     # Where lines end in a carriage return too, a break inside quotes is read as a line feed.
     text = F.col("record")
