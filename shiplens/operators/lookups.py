@@ -22,12 +22,22 @@ def literal_lookup(card: dict, key: Column) -> Column:
     return F.try_element_at(F.create_map(*pairs), key)
 
 
+def _card(spark: SparkSession, card: dict, key: str, value: str) -> DataFrame:
+    """A dict as a table made of literals. Its size is known when a query is planned,
+    unlike that of rows sent from Python: a join with it never deals the lines by
+    the card's few keys."""
+    if not card:
+        return spark.createDataFrame([], f"{key} string, {value} double")
+    rows = [F.struct(F.lit(k).cast("string").alias(key), F.lit(v).cast("double").alias(value)) for k, v in card.items()]
+    return spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
+
+
 def rate_card(spark: SparkSession, card: dict = BASE_RATE) -> DataFrame:
-    return spark.createDataFrame(list(card.items()), "shipping_mode string, base_rate double")
+    return _card(spark, card, "shipping_mode", "base_rate")
 
 
 def zone_card(spark: SparkSession, card: dict = ZONE_FACTOR) -> DataFrame:
-    return spark.createDataFrame(list(card.items()), "order_region string, zone_factor double")
+    return _card(spark, card, "order_region", "zone_factor")
 
 
 def unique_card(dim: DataFrame, key: str, value: str, out: str) -> DataFrame:
