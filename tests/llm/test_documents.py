@@ -208,6 +208,50 @@ def test_like_pairs_against_all_pairs():
     assert first <= want and {x for p in first for x in p} == {x for p in want for x in p} and len(first) <= 2 * n
 
 
+def test_pairs_of_a_large_group_come_in_pieces(monkeypatch):
+    monkeypatch.setattr(fuzzy_lines, "HELD_PAIRS", 5000)
+    n, zero = 600, np.zeros(600, dtype=np.int64)
+    comp = np.arange(n) % 30
+    pieces = list(fuzzy_lines.pieces_of_like_pairs(zero, zero + 200, zero, np.arange(n), comp, 0.9))
+    assert max(len(p[0]) for p in pieces) < 5000 + n
+    assert len({(a, b) for p in pieces for a, b in zip(p[0], p[1])}) == sum(len(p[0]) for p in pieces) == (n * n - n * n // 30) // 2
+    many = comp < 2
+    pieces = list(fuzzy_lines.pieces_of_like_pairs(zero, zero + 200, zero, np.arange(n), comp, 0.9, many=many))
+    assert {(a, b) for p in pieces for a, b in zip(p[0], p[1])} == {
+        (a, b) for a in range(n) for b in range(a + 1, n) if comp[a] != comp[b] and (many[a] or many[b])}
+
+
+def test_one_pair_of_each_two_groups_by_block(spark, monkeypatch):
+    """Pairs that two groups of near lines have in one block do not multiply by the groups' lines."""
+    rows = [(a, a % 12, 200 + a % 3, 0, *[7] * (fuzzy_lines.WORDS - 1), a % 2 == 0) for a in range(360)]
+    lines = spark.createDataFrame(rows, "a bigint, comp bigint, size int, check bigint, "
+                                  + ", ".join(f"{c} bigint" for c in fuzzy_lines._SIMS) + ", many boolean")
+    for held in (10, 1 << 18):
+        monkeypatch.setattr(fuzzy_lines, "HELD_PAIRS", held)
+        found = fuzzy_lines._near_lines(lines, 0.9, "components").collect()
+        assert {(min(x), max(x)) for x in ((r.a % 12, r.b % 12) for r in found)} == {(i, j) for i in range(12) for j in range(i + 1, 12)}
+    assert len(found) <= 66 * 18
+    assert fuzzy_lines._near_lines(lines, 0.9, "all").count() == sum(
+        1 for a in range(360) for b in range(a + 1, 360) if a % 12 != b % 12 and (a % 2 == 0 or b % 2 == 0))
+
+
+@pytest.mark.parametrize("give_up", [1, 2, 7, 64])
+def test_pairs_given_up_on_the_way(monkeypatch, give_up):
+    monkeypatch.setattr(fuzzy_lines, "GIVE_UP", give_up)
+    rnd, left, right, most = random.Random(5), [], [], []
+    for _ in range(300):
+        a = "".join(rnd.choices("abcd", k=rnd.randint(20, 90)))
+        b = list(a) if rnd.random() < 0.6 else rnd.choices("abcd", k=len(a))
+        for _ in range(rnd.randint(0, 12)):
+            k = rnd.randint(0, len(b))
+            b[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "d"])
+        left.append(a)
+        right.append("".join(b))
+        most.append(rnd.randint(0, 12))
+    got = fuzzy_lines.within_edits(left, right, np.array(most))
+    assert got.tolist() == [_edits(a, b) <= n for a, b, n in zip(left, right, most)] and 0 < sum(got) < 300
+
+
 def _edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
