@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -42,43 +43,46 @@ class _Spelling(dict):
         return self[code]
 
 
+class _Units(dict):
+    """Ids of units by the library's merges alone (no text is split again), made
+    when first asked for. The first ``most`` stay; any other is held in ``beyond``."""
+
+    def __init__(self, merge, most: int):
+        super().__init__()
+        self.merge, self.most, self.spell, self.beyond = merge, most, _Spelling(), {}
+
+    def __missing__(self, unit: str) -> bytes:
+        out = self.beyond.get(unit)
+        if out is None:
+            ids = [t.id for t in self.merge(unit.translate(self.spell))]
+            out = struct.pack(f"<{len(ids)}I", *ids)
+            (self if len(self) < self.most else self.beyond)[unit] = out
+        return out
+
+
 class IdEncoder:
     """Texts to little-endian unsigned 32-bit token ids, as bytes.
 
     ``max_units`` bounds the look-up table (the first units seen stay; any
-    other is encoded each time), not what can be encoded.
+    other is encoded once per call), not what can be encoded.
     """
 
     def __init__(self, path: str | None = None, max_units: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
         self.tok = Tokenizer.from_file(path or tokenizer_path())
-        self.max_units = max_units
-        self.units: dict[str, bytes] = {}
-        self.spell = _Spelling()
+        self.units = _Units(self.tok.model.tokenize, max_units)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         enc = self.tok.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in enc]
 
-    def _unit_ids(self, units: list[str]) -> list[bytes]:
-        """Ids of each unit, by the library's merges alone: no text is split again."""
-        merge, spell = self.tok.model.tokenize, self.spell
-        return [np.array([t.id for t in merge(u.translate(spell))], dtype="<u4").tobytes() for u in units]
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list = []
+        get, out = self.units.__getitem__, []
         for t in texts:
             whole = _UNSAFE.search(t) is not None or _SPECIAL in t
-            split.append(None if whole else _UNIT.findall(t))
-        known = self.units
-        fresh = list(set().union(*(s for s in split if s is not None)).difference(known))
-        if fresh:
-            known.update(zip(fresh, self._unit_ids(fresh)))
-        get = known.__getitem__
-        out = [self._ids([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split)]
-        for u in fresh[:max(0, len(known) - self.max_units)]:
-            del known[u]
+            out.append(self._ids([t])[0] if whole else b"".join(map(get, _UNIT.findall(t))))
+        self.units.beyond.clear()
         return out
 
 

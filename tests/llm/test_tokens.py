@@ -79,6 +79,16 @@ def _check_packing(rows, truth, window=2048):
     return padding
 
 
+def test_units_are_merged_when_first_asked_for(monkeypatch):
+    encoder, seen = IdEncoder(max_units=3), []
+    merge = encoder.units.merge
+    monkeypatch.setattr(encoder.units, "merge", lambda u: seen.append(u) or merge(u))
+    texts = ["a b c d e f a b c d e f", "f e d", ""]
+    assert encoder.encode(texts) == encoder._ids(texts) and len(seen) == 8 and len(encoder.units) == 3 and not encoder.units.beyond
+    seen.clear()
+    assert encoder.encode(texts) == encoder._ids(texts) and len(seen) == 5  # those beyond the table alone
+
+
 def test_packing_of_the_whole_table(spark, encoder):
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
     rows = QUERIES["op1_packing"](spark, SF).collect()
