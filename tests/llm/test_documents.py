@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 from collections import defaultdict
 
 import numpy as np
@@ -303,6 +304,76 @@ def test_lines_of_rows_that_share_an_id(spark):
     assert sorted(t for d, t in out if d == 3) in (["x", "x"], ["", "x"])
 
 
+def test_grams_rule_out_no_pair_within_the_edits():
+    rnd, left, right, most = random.Random(6), ["", "a", "ab" * 400], ["", "", "ba" * 400], [0, 1, 2]
+    for _ in range(1500):
+        a = "".join(rnd.choices("abcde\U0001F600", k=rnd.randint(0, 60)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 9)):
+            k = rnd.randint(0, len(b))
+            b[k:k + rnd.randint(0, 1)] = rnd.choice(["", "a", "d"])
+        left.append(a)
+        right.append("".join(b))
+        most.append(rnd.randint(0, 9))
+    got = fuzzy_lines.may_be_within(left, right, np.array(most))
+    near = np.array([_edits(a, b) <= n for a, b, n in zip(left, right, most)])
+    assert got[near].all() and 0 < near.sum() < len(near)
+    words = ["the", "of", "and"] * 30 + ["".join(rnd.choices("abcdefghilmnoprstu", k=rnd.randint(3, 8))) for _ in range(300)]
+    other = [" ".join(rnd.choices(words, k=90)) for _ in range(100)]
+    some = fuzzy_lines.may_be_within(other[:50], other[50:], np.array([len(t) // 10 for t in other[50:]]))
+    assert some.sum() <= 10  # lines that share frequent words
+
+
+def test_a_pair_leaves_the_first_block_it_shares(spark):
+    rnd, rows = random.Random(8), []
+    words = [rnd.getrandbits(60) for _ in range(fuzzy_lines.WORDS - 1)]
+    for a in range(60):
+        w = list(words)
+        for _ in range(rnd.randint(0, 70)):
+            w[rnd.randrange(len(w))] ^= 1 << rnd.randrange(60)
+        rows.append((a, a, 200, 0, *w, True))
+    lines = spark.createDataFrame(rows, "a bigint, comp bigint, size int, check bigint, "
+                                  + ", ".join(f"{c} bigint" for c in fuzzy_lines._SIMS) + ", many boolean")
+    mask, want = (1 << 20) - 1, set()
+    for x in rows:
+        for y in rows[x[0] + 1:]:
+            apart = [p ^ q for p, q in zip(x[4:-1], y[4:-1])]
+            shared = any(d >> 20 * j & mask == 0 for d in apart for j in range(3))
+            if shared and sum(d.bit_count() for d in apart) <= fuzzy_lines.RADIUS:
+                want.add((x[0], y[0], sum(d.bit_count() for d in apart)))
+    parts = [fuzzy_lines._near_lines(lines, 0.9, "all", k, 6).collect() for k in range(6)]
+    got = [(r.a, r.b, r.apart) for part in parts for r in part]
+    assert len(got) == len(set(got)) and set(got) == want and 0 < len(want) < 60 * 59 // 2
+
+
+@pytest.mark.parametrize("range_bytes", [100, 1 << 25])
+def test_pairs_meet_their_texts_by_tiles(spark, monkeypatch, range_bytes):
+    monkeypatch.setattr(fuzzy_lines, "RANGE_BYTES", range_bytes)
+    rnd = random.Random(11)
+    base = "".join(rnd.choices("abcdefgh ", k=60))
+    texts = {(1 << 62) + a: _edited(rnd, base, rnd.choice((0.01, 0.03, 0.05))) for a in range(40)}
+    pairs = [(a, b) for a in texts for b in texts if a < b]
+    got = fuzzy_lines._verified(spark.createDataFrame(list(texts.items()), "a bigint, line_text string"),
+                                spark.createDataFrame(pairs, "a bigint, b bigint"), 0.9).collect()
+    want = {(a, b) for a, b in pairs if _edits(texts[a], texts[b]) <= int(max(len(texts[a]), len(texts[b])) * 0.1 + 1e-9)}
+    assert {(r.u, r.v) for r in got} == want and len(got) == len(want) and 0 < len(want) < len(pairs)
+
+
+def test_no_shuffle_file_outlives_what_was_saved(spark):
+    from shiplens.llm.common import saved
+
+    def files():
+        paths = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ")
+        return {x for x in re.findall(r"shuffle_\d+_\d+_\d+\.\w+", paths)}
+
+    before = files()
+    out = saved(spark.range(0, 1000, 1, 4).selectExpr("id % 7 k").groupBy("k").count(), "groups")
+    end = time.time() + 20
+    while files() - before and time.time() < end:
+        time.sleep(0.2)
+    assert not files() - before and sum(r["count"] for r in out.collect()) == 1000
+
+
 # --------------------------------------------------------------- pipeline
 
 def test_pipeline_stages(spark):
